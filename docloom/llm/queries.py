@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, packing, quality, sharding, topk, toxicity
+from docloom.llm import langid, packing, quality, sharding, simhash, suffixdedup, topk, toxicity
 from docloom.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sharding, op2_language_id, op4_quality, op5_exact_topk, op6_packing, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op2_language_id, op4_quality, op5_exact_topk, op6_packing, op8_simhash, op9_suffix_dedup, op10_toxicity)
 }
 
 #: DuckDB's SQL for the queries that SQL can express.
