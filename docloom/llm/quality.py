@@ -142,6 +142,19 @@ def predict(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
     return rows.mapInPandas(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: QualityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least the threshold; only the text goes through Python."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            parts = [sent.value.scores(np.stack([terms(t) for t in texts.iloc[a : a + BLOCK]])) for a in range(0, len(texts), BLOCK)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    score = F.pandas_udf(run, "double")
+    return docs.where(score(F.col(text_col)) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted: labels of two folds by id are learned, the third is held out."""
     model = fit(docs, labels.where(id_fold(F.col(id_col)) != 1), id_col, text_col, label_col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, packing, quality, sharding, simhash, suffixdedup, topk, toxicity
+from docloom.llm import decontam, langid, linededup, packing, quality, sharding, simhash, suffixdedup, topk, toxicity
 from docloom.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text")).alias("kept_md5"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,8 +61,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sharding, op2_language_id, op4_quality, op5_exact_topk, op6_packing, op8_simhash, op9_suffix_dedup, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_language_id, op3_decontamination, op4_quality, op5_exact_topk,
+        op6_packing, op7_line_dedup, op8_simhash, op9_suffix_dedup, op10_toxicity,
+    )
+}
+
+
+def _marks_in_duckdb(text: str) -> str:
+    for pattern, to in decontam.MARKS:
+        to = to.replace("$", "\\")
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
 
 #: DuckDB's SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -75,4 +95,57 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op3_decontamination": f"""
+        WITH raw AS (
+            SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+        ), words AS (
+            SELECT side, id, list_filter(string_split_regex(lower({_marks_in_duckdb("text")}), '{decontam.SPLIT}'), x -> x <> '') AS w
+            FROM raw WHERE text IS NOT NULL
+        ), templates AS (
+            SELECT side, id, w, list_transform(w, x -> CASE WHEN x[1] = chr(1) THEN chr(1) || 'name' WHEN x[1] = chr(2) THEN chr(2) || 'unit'
+                WHEN x[1] BETWEEN '0' AND '9' THEN '0number' ELSE x END) AS t
+            FROM words WHERE len(w) >= 5
+        ), windows AS (
+            SELECT side, id, i AS at, array_to_string(list_slice(t, i, i + 4), ' ') AS h, list_filter(list_slice(w, i, i + 4), x -> x < ':') AS slots
+            FROM templates, unnest(range(1, len(w) - 3)) u(i)
+        ), hits AS (
+            SELECT d.id AS doc_id, b.id AS item_id, d.at - b.at AS shift, b.at AS b, b.slots AS bs, d.slots AS ds
+            FROM windows d JOIN windows b ON d.h = b.h WHERE d.side = 0 AND b.side = 1
+        ), pairs AS (
+            SELECT DISTINCT doc_id, item_id, shift, unnest(bs) AS x, unnest(ds) AS y FROM hits WHERE len(bs) > 0
+        ), maps AS (
+            SELECT doc_id, item_id, shift, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS fits, bool_or(x <> y) AS differs
+            FROM pairs GROUP BY doc_id, item_id, shift
+        ), found AS (
+            SELECT doc_id, item_id, count(DISTINCT CASE WHEN len(bs) = 0 OR fits THEN b END) AS matched, coalesce(bool_or(differs), FALSE) AS changed
+            FROM hits LEFT JOIN maps USING (doc_id, item_id, shift) GROUP BY doc_id, item_id
+        ), sizes AS (
+            SELECT id AS item_id, count(*) AS windows FROM windows WHERE side = 1 GROUP BY id
+        )
+        SELECT doc_id, item_id, matched, windows, changed FROM found JOIN sizes USING (item_id) WHERE matched >= ceil(windows * 0.8)
+    """,
+    "op7_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, i - 1 AS pos, a[i] AS raw, trim(a[i], ' ' || chr(9) || chr(13)) AS line
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), unnest(range(1, len(a) + 1)) u(i)
+        ), firsts AS (
+            SELECT line, min({'d': doc_id, 'p': pos}) AS at FROM lines WHERE length(line) >= 10 GROUP BY line
+        ), variants AS (
+            SELECT line, at, i, left(line, i - 1) || substr(line, i + 1) AS v
+            FROM firsts, unnest(range(1, length(line) + 1)) u(i) WHERE length(line) >= 16
+        ), near AS (
+            SELECT x.line FROM variants x JOIN variants y ON x.v = y.v AND x.i = y.i AND y.at < x.at
+            UNION SELECT x.line FROM variants x JOIN firsts y ON x.v = y.line AND length(y.line) >= 16 AND y.at < x.at
+            UNION SELECT y.line FROM variants x JOIN firsts y ON x.v = y.line AND length(y.line) >= 16 AND x.at < y.at
+        ), judged AS (
+            SELECT doc_id, pos, raw, length(line) >= 10 AND (near.line IS NOT NULL OR firsts.at <> {'d': doc_id, 'p': pos}) AS gone
+            FROM lines LEFT JOIN firsts USING (line) LEFT JOIN near USING (line)
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                   coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT coalesce(gone, FALSE)), '') AS text
+            FROM judged GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, md5(kept.text) AS kept_md5
+        FROM documents LEFT JOIN kept USING (doc_id)
+    """,
 }

@@ -102,3 +102,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(named, "la", "lb")
     of = nodes.join(groups, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id"))
     return rows.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of their component; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    going = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(going, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
