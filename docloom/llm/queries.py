@@ -80,13 +80,13 @@ def _marks_in_duckdb(text: str) -> str:
 ORACLES: dict[str, str] = {
     "op5_exact_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
             WHERE q.vec_id % 50 = 0
         ), ranked AS (
@@ -99,17 +99,17 @@ ORACLES: dict[str, str] = {
         WITH raw AS (
             SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
         ), words AS (
-            SELECT side, id, list_filter(string_split_regex(lower({_marks_in_duckdb("text")}), '{decontam.SPLIT}'), x -> x <> '') AS w
+            SELECT side, id, list_filter(string_split_regex(lower({_marks_in_duckdb("text")}), '{decontam.SPLIT}'), lambda x: x <> '') AS w
             FROM raw WHERE text IS NOT NULL
         ), templates AS (
-            SELECT side, id, w, list_transform(w, x -> CASE WHEN x[1] = chr(1) THEN chr(1) || 'name' WHEN x[1] = chr(2) THEN chr(2) || 'unit'
+            SELECT side, id, w, list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN chr(1) || 'name' WHEN x[1] = chr(2) THEN chr(2) || 'unit'
                 WHEN x[1] BETWEEN '0' AND '9' THEN '0number' ELSE x END) AS t
             FROM words WHERE len(w) >= 5
         ), windows AS (
-            SELECT side, id, i AS at, array_to_string(list_slice(t, i, i + 4), ' ') AS h, list_filter(list_slice(w, i, i + 4), x -> x < ':') AS slots
+            SELECT side, id, i AS place, array_to_string(list_slice(t, i, i + 4), ' ') AS h, list_filter(list_slice(w, i, i + 4), lambda x: x < ':') AS slots
             FROM templates, unnest(range(1, len(w) - 3)) u(i)
         ), hits AS (
-            SELECT d.id AS doc_id, b.id AS item_id, d.at - b.at AS shift, b.at AS b, b.slots AS bs, d.slots AS ds
+            SELECT d.id AS doc_id, b.id AS item_id, d.place - b.place AS shift, b.place AS b, b.slots AS bs, d.slots AS ds
             FROM windows d JOIN windows b ON d.h = b.h WHERE d.side = 0 AND b.side = 1
         ), pairs AS (
             SELECT DISTINCT doc_id, item_id, shift, unnest(bs) AS x, unnest(ds) AS y FROM hits WHERE len(bs) > 0
@@ -129,16 +129,16 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, i - 1 AS pos, a[i] AS raw, trim(a[i], ' ' || chr(9) || chr(13)) AS line
             FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), unnest(range(1, len(a) + 1)) u(i)
         ), firsts AS (
-            SELECT line, min({'d': doc_id, 'p': pos}) AS at FROM lines WHERE length(line) >= 10 GROUP BY line
+            SELECT line, min({'d': doc_id, 'p': pos}) AS place FROM lines WHERE length(line) >= 10 GROUP BY line
         ), variants AS (
-            SELECT line, at, i, left(line, i - 1) || substr(line, i + 1) AS v
+            SELECT line, place, i, left(line, i - 1) || substr(line, i + 1) AS v
             FROM firsts, unnest(range(1, length(line) + 1)) u(i) WHERE length(line) >= 16
         ), near AS (
-            SELECT x.line FROM variants x JOIN variants y ON x.v = y.v AND x.i = y.i AND y.at < x.at
-            UNION SELECT x.line FROM variants x JOIN firsts y ON x.v = y.line AND length(y.line) >= 16 AND y.at < x.at
-            UNION SELECT y.line FROM variants x JOIN firsts y ON x.v = y.line AND length(y.line) >= 16 AND x.at < y.at
+            SELECT x.line FROM variants x JOIN variants y ON x.v = y.v AND x.i = y.i AND y.place < x.place
+            UNION SELECT x.line FROM variants x JOIN firsts y ON x.v = y.line AND length(y.line) >= 16 AND y.place < x.place
+            UNION SELECT y.line FROM variants x JOIN firsts y ON x.v = y.line AND length(y.line) >= 16 AND x.place < y.place
         ), judged AS (
-            SELECT doc_id, pos, raw, length(line) >= 10 AND (near.line IS NOT NULL OR firsts.at <> {'d': doc_id, 'p': pos}) AS gone
+            SELECT doc_id, pos, raw, length(line) >= 10 AND (near.line IS NOT NULL OR firsts.place <> {'d': doc_id, 'p': pos}) AS gone
             FROM lines LEFT JOIN firsts USING (line) LEFT JOIN near USING (line)
         ), kept AS (
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
