@@ -173,7 +173,7 @@ def section_rows(text: str) -> list[tuple[int, str, int, int]]:
     total = text.count("\n") + (not text.endswith("\n"))
     found = sorted(headings(text), key=lambda h: h[2])
     ends = [h[2] - 1 for h in found[1:]] + [total]
-    return [(level, title, at, max(end, at)) for (level, title, at), end in zip(found, ends, strict=True)]
+    return [(level, title, at, max(end, at)) for (level, title, at), end in zip(found, ends, strict=False)]
 
 
 def parsed_sections(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
