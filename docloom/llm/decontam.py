@@ -28,7 +28,7 @@ _NAME, _UNIT = "\u0001", "\u0002"
 MARKS = (
     (r"([0-9])[.,:/]([0-9])", "$1$2"),
     (r"([0-9][ -]?)((?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r"))\b", f"$1 {_UNIT}$2"),
-    (r"([\p{Ll},;] )(\p{Lu})", f"$1{_NAME}$2"),
+    (r"([\p{Ll},;] )(\p{Lu}\p{Ll})", f"$1{_NAME}$2"),
 )
 SPLIT = r"[^\p{L}\p{N}\x01\x02]+"
 
