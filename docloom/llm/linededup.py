@@ -3,8 +3,9 @@
 Two lines within one edit share a variant: one of them with a character deleted, or itself. A line is
 dropped if an earlier line, by document id and place, equals it or is within one edit.
 
-Equal lines are first counted as one. Of two different lines within one edit, either the first or
-the last halves are equal, so only lines that share a half with another emit their variants. Of each
+Equal lines are first counted as one. Of two different lines within one edit, all but one of the parts that
+they are cut into are equal, so only lines that share all but one of 2 parts with another, and then all but
+one of PARTS, emit their variants. Of each
 variant and place of deletion only the earliest line is kept: lines with both in common differ
 in that one character, and the line that equals the variant is one deletion away. So no
 group of similar lines is ever expanded into pairs, however large it is.
@@ -19,6 +20,8 @@ from docloom.llm._common import written
 
 #: Lines of fewer characters stay; those of at least NEAR are also compared within one edit.
 SHORT, NEAR = 10, 16
+#: Parts of the second comparison.
+PARTS = 16
 
 
 def _key(line: Column) -> Column:
@@ -41,13 +44,24 @@ def _digest(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
 
 
-def _halves() -> Column:
-    """Hashes of the first and last halves, for both lengths that a line one edit away could have them cut at."""
-    n = F.length("line")
-    cuts = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    line = F.col("line")
-    both = lambda m: F.array(F.xxhash64(F.lit(1), m, F.substr(line, F.lit(1), m)), F.xxhash64(F.lit(2), m, F.substr(line, n - m + 1, m)))
-    return F.flatten(F.transform(cuts, both))
+def _frames(parts: int) -> Column:
+    """Hashes of the line less each of its parts, cut for both lengths that the shorter of two lines one edit apart can have."""
+    n, line = F.length("line"), F.col("line")
+
+    def frame(r: Column, j: Column) -> Column:
+        head, tail = F.floor(j * r / parts).cast("int"), (r - F.floor((j + 1) * r / parts)).cast("int")
+        return F.xxhash64(r, j, F.substr(line, F.lit(1), head), F.substr(line, n - tail + 1, tail))
+
+    cut = F.sequence(F.lit(0), F.lit(parts - 1))
+    return F.flatten(F.transform(F.array(n, n - 1), lambda r: F.transform(cut, lambda j: frame(r, j))))
+
+
+def _sharing(keys: DataFrame) -> DataFrame:
+    """The h1 of rows (h1, key) that share a key with another h1."""
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi"))
+    two = shared.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("h1"))
+    more = keys.join(shared.where("n > 2").select("key"), "key").select("h1")
+    return written(two.unionByName(more).distinct())
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,19 +69,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _rows(docs, id_col, text_col)
     lines = _lines(rows)
     place = F.struct("ord", "th", "pos")
-    # keys of the halves go with the digest, as the texts of the lines don't
+    # the keys go with the digest, as the texts of the lines don't
     distinct = written(
-        lines.select(*_digest("line"), F.when(F.length("line") >= NEAR, _halves()).alias("halves"), place.alias("at"))
+        lines.select(*_digest("line"), F.when(F.length("line") >= NEAR, _frames(2)).alias("halves"), place.alias("at"))
         .groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     )
-    keys = distinct.select("h1", F.explode("halves").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi"))
-    two = shared.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("h1"))
-    more = keys.join(shared.where("n > 2").select("key"), "key").select("h1")
-    asked = written(two.unionByName(more).distinct())
-
+    asked = _sharing(distinct.select("h1", F.explode("halves").alias("key")))
     texts = lines.where(F.length("line") >= NEAR).select(F.xxhash64("line").alias("h1"), "line", place.alias("at")).join(asked, "h1")
     texts = written(texts.groupBy("h1", "line").agg(F.min("at").alias("at")))
+    close = _sharing(texts.select("h1", F.explode(_frames(PARTS)).alias("key")))
+    texts = written(texts.join(close, "h1"))
     cut = F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("v")))
     variants = texts.select("h1", "at", F.explode(cut).alias("x")).select("h1", "at", "x.i", "x.v")
     # the line that has one character else at the same place
