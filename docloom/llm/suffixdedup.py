@@ -7,8 +7,16 @@ piece of text. Groups with a single piece hold nothing repeated; equal pieces ar
 their number. The different pieces of a group are joined into one text, whose suffix array
 (:mod:`docloom.llm._gsaca`) brings equal windows side by side.
 
+Windows of a group are equal only at equal distances from their anchors. So a piece is read in
+blocks of BLOCK bytes counted from its anchor, blocks become symbols, and the suffix array is one over
+symbols: windows whose full blocks agree lie side by side in it, and their first and last bytes are
+compared after.
+
 A group with more than CROWD different pieces, such as at the edges of a passage that very
-many documents share, is not one suffix array: windows of it are counted by their digests instead.
+many documents share, is cut up first: the windows that start far before the anchor all hold the same
+bytes before it, and the others the same bytes behind it, so each half of a piece goes to the
+group of those bytes. This is repeated for groups that are still too large; halves that are equal
+become one, and halves alone in their group hold nothing repeated.
 """
 
 from __future__ import annotations
@@ -25,8 +33,8 @@ from docloom.llm._common import written
 from docloom.llm._gsaca import suffix_array
 
 LENGTH, ANCHOR = 400, 64
-#: Different pieces a group up to which it is sorted as one text; bytes sorted at once, at least.
-CROWD, TEXT = 256, 1 << 17
+#: Bytes a symbol; different pieces a group up to which it is sorted as one text; bytes sorted at once, at least.
+BLOCK, CROWD, TEXT = 8, 1024, 1 << 19
 #: Windows whose anchors are found at once.
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,8 +64,8 @@ def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pieces(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int]]:
-    """(hash of the anchor, first window, last window) of each run of windows with the same anchor."""
+def pieces(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int, int]]:
+    """(hash of the anchor, first window, last window, place of the anchor) of each run of windows with the same anchor."""
     w = length - anchor + 1
     for at in range(0, len(data) - length + 1, CHUNK):
         part = np.frombuffer(data, np.uint8)[at : at + CHUNK + length - 1]
@@ -74,14 +82,19 @@ def pieces(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[
         ends = np.flatnonzero(np.diff(where))
         first = np.concatenate(([0], ends + 1))
         last = np.concatenate((ends, [len(where) - 1]))
-        yield from zip(h[where[first]].view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
+        anchors = where[first]
+        yield from zip(h[anchors].view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), (anchors + at).tolist(), strict=True)
 
 
 def _as_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-_PIECES = "t1 long, t2 long, v long, d1 long, d2 long, n int, p long, windows int, more array<long>"
+def _longs(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+_PIECES = "t1 long, t2 long, v long, d1 long, d2 long, n int, p long, windows int, anchor int, more array<long>"
 
 
 def _pieces_of(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -97,45 +110,74 @@ def _pieces_of(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.Data
                 continue
             view = memoryview(data)
             found: dict[tuple[int, bytes], list[int]] = {}
-            for v, a, b in pieces(data, length):
-                found.setdefault((v, b - a + 1, digest(view[a : b + length])), []).append(a)
-            for (v, n, d), at in found.items():
-                rows.append((t1, t2, v, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(at), at[0], n, at[1:] or None))
+            for v, a, b, q in pieces(data, length):
+                found.setdefault((v, b - a + 1, q - a, digest(view[a : b + length])), []).append(a)
+            for (v, n, q, d), at in found.items():
+                rows.append((t1, t2, v, *_longs(d), len(at), at[0], n, q, at[1:] or None))
             if len(rows) > 20_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
         yield pd.DataFrame(rows, columns=names)
 
 
-def repeated_windows(texts: list[bytes], copies: list[bool], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, which of its windows start more than once in all of them; in a text with copies all do."""
+def repeated_windows(texts: list[bytes], anchors: list[int], copies: list[bool], length: int = LENGTH) -> list[np.ndarray]:
+    """For each text, which of its windows start more than once in all of them; in a text with copies all do.
+
+    ``anchors``: the place of each text's anchor. Equal windows must lie at equal distances from theirs.
+    """
     sizes = np.array([len(t) for t in texts])
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    windows = np.maximum(0, sizes - length + 1)
     marked = np.zeros(int(starts[-1]), bool)
-    for s, n, many in zip(starts[:-1].tolist(), sizes.tolist(), copies, strict=True):
+    for s, n, many in zip(starts[:-1].tolist(), windows.tolist(), copies, strict=True):
         if many:
-            marked[s : s + n - length + 1] = True
+            marked[s : s + n] = True
+    full = (length - BLOCK + 1) // BLOCK  # blocks inside a window, however it lies
+    raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(texts) > 1 or not all(copies):
-        # symbols 1 to 256 are bytes and 0 ends a text: windows of real bytes never hold an end
-        joined = np.zeros(int(starts[-1]), np.int64)
-        inside = np.zeros(int(starts[-1]), bool)
-        for s, t in zip(starts[:-1].tolist(), texts, strict=True):
-            joined[s : s + len(t)] = np.frombuffer(t, np.uint8).astype(np.int64) + 1
-            inside[s : s + max(0, len(t) - length + 1)] = True
+        # one symbol for each block of each text, and one that ends each text
+        words, at, owner = [], [], []
+        for k, (s, t, q) in enumerate(zip(starts[:-1].tolist(), texts, anchors, strict=True)):
+            m = (len(t) - q % BLOCK) // BLOCK
+            words.append(np.frombuffer(t, "<u8", m, q % BLOCK))
+            at.append(np.concatenate((s + q % BLOCK + BLOCK * np.arange(m), [-1])))
+            owner.append(np.full(m + 1, k))
+        known, symbols = np.unique(np.concatenate(words), return_inverse=True)
+        joined = np.concatenate([np.concatenate((x + 1, [0])) for x in np.split(symbols, np.cumsum([len(w) for w in words])[:-1])])
+        place, text_of = np.concatenate(at), np.concatenate(owner)
         order = np.array(suffix_array(joined.tolist()))
-        order = order[inside[order]]
-        raw = (joined - 1).astype(np.uint8)
-        if len(raw) >= length:
-            h = window_hashes(raw, length)
-            a, b = order[:-1], order[1:]
-            like = np.flatnonzero(h[a] == h[b])
-            for part in np.array_split(like, max(1, len(like) // 20_000)):  # equal hashes are verified byte by byte
-                if len(part):
-                    rows = np.lib.stride_tricks.sliding_window_view(joined, length)
-                    same = part[(rows[a[part]] == rows[b[part]]).all(axis=1)]
-                    marked[a[same]] = True
-                    marked[b[same]] = True
-    return [marked[s : s + max(0, n - length + 1)] for s, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True)]
+        # neighbours with the same full blocks are of one class
+        whole = np.zeros(len(joined), bool)
+        ends = np.flatnonzero(joined == 0)
+        next_end = ends[np.searchsorted(ends, np.arange(len(joined)))]
+        whole[next_end - np.arange(len(joined)) >= full] = True
+        order = order[whole[order]]
+        if len(order):
+            runs = np.lib.stride_tricks.sliding_window_view(joined, full)
+            same = np.zeros(len(order), bool)
+            for a in range(1, len(order), 20_000):
+                part = np.arange(a, min(len(order), a + 20_000))
+                same[part] = (runs[order[part]] == runs[order[part - 1]]).all(axis=1)
+            kind = np.cumsum(~same)
+            several = np.bincount(kind)[kind] > 1
+            order, kind = order[several], kind[several]
+            # the windows whose first full block this is start up to BLOCK - 1 bytes before it
+            p = (place[order][:, None] - np.arange(BLOCK)).ravel()
+            kind, of = np.repeat(kind, BLOCK), np.repeat(text_of[order], BLOCK)
+            fits = (p >= starts[of]) & (p < starts[of] + windows[of])
+            p, kind = p[fits], kind[fits]
+            if len(p):
+                h = window_hashes(raw, length)[p]
+                by = np.lexsort((h, kind))
+                p, kind, h = p[by], kind[by], h[by]
+                like = np.flatnonzero((kind[1:] == kind[:-1]) & (h[1:] == h[:-1]))
+                rows = np.lib.stride_tricks.sliding_window_view(raw, length)
+                for a in range(0, len(like), 5_000):  # equal hashes are verified byte by byte
+                    part = like[a : a + 5_000]
+                    part = part[(rows[p[part]] == rows[p[part + 1]]).all(axis=1)]
+                    marked[p[part]] = True
+                    marked[p[part + 1]] = True
+    return [marked[s : s + n] for s, n in zip(starts[:-1].tolist(), windows.tolist(), strict=True)]
 
 
 def _runs(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -152,7 +194,7 @@ def _sorted_groups(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.
     def done(rows: list[tuple]) -> pd.DataFrame:
         out = []
         # equal windows of different groups don't exist, so groups may share a suffix array
-        for (v, d1, d2, _, _), hit in zip(rows, repeated_windows([r[3] for r in rows], [r[4] > 1 for r in rows], length), strict=True):
+        for (v, d1, d2, _, _, _), hit in zip(rows, repeated_windows([r[3] for r in rows], [r[4] for r in rows], [r[5] > 1 for r in rows], length), strict=True):
             if runs := _runs(hit):
                 out.append((v, d1, d2, [{"s": s, "e": e} for s, e in runs]))
         return pd.DataFrame(out, columns=["v", "d1", "d2", "runs"])
@@ -160,30 +202,65 @@ def _sorted_groups(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.
     rows: list[tuple] = []
     size, seen = 0, None
     for pdf in batches:
-        for v, d1, d2, data, n in zip(pdf["v"], pdf["d1"], pdf["d2"], pdf["data"], pdf["n"], strict=True):
+        for v, d1, d2, data, q, n in zip(pdf["v"], pdf["d1"], pdf["d2"], pdf["data"], pdf["anchor"], pdf["n"], strict=True):
             if (v, d1, d2) == seen:
                 continue  # the piece of another row with the same id and text
             if rows and size > TEXT and v != rows[-1][0]:
                 yield done(rows)
                 rows, size = [], 0
             seen = v, d1, d2
-            rows.append((v, d1, d2, bytes(data), n))
+            rows.append((v, d1, d2, bytes(data), q, n))
             size += len(data)
     if rows:
         yield done(rows)
 
 
-def _window_digests(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    from xxhash import xxh3_128_digest as digest
+_HALVES = "v long, d1 long, d2 long, shift int, v2 long, e1 long, e2 long, anchor int, lo int, hi int, n long, data binary"
+
+
+def _halved(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Both halves of the windows of each piece that start lo to hi - 1 bytes before the anchor, with the groups they go to."""
+    from xxhash import xxh3_64_intdigest as digest
+    from xxhash import xxh3_128_digest as wide
 
+    names = [x.split()[0] for x in _HALVES.split(", ")]
+    columns = ["v", "d1", "d2", "data", "anchor", "n", "lo", "hi"]
     for pdf in batches:
-        for a in range(0, len(pdf), 64):
-            part = pdf.iloc[a : a + 64]
-            out = []
-            for v, d1, d2, data, n in zip(part["v"], part["d1"], part["d2"], part["data"], part["n"], strict=True):
-                view = memoryview(bytes(data))
-                out += [(v, d1, d2, o, n, digest(view[o : o + length])) for o in range(len(view) - length + 1)]
-            yield pd.DataFrame(out, columns=["v", "d1", "d2", "o", "n", "w"])
+        out = []
+        for v, d1, d2, data, q, n, lo, hi in zip(*(pdf[c] for c in columns), strict=True):
+            data, middle = bytes(data), (lo + hi) // 2
+            for a, b in ((lo, middle), (middle, hi)):
+                first, last = max(0, q - b + 1), min(len(data) - length, q - a)
+                if a == b or first > last:
+                    continue
+                common = data[q - a : q - b + 1 + length]  # from the latest start of such windows to their earliest end
+                part = data[first : last + length]
+                key = digest(common, seed=(a << 32 | b) ^ (v & 0xFFFFFFFFFFFFFFFF))
+                out.append((v, d1, d2, first, key - (1 << 64) if key >> 63 else key, *_longs(wide(part)), q - first, a, b, n, part))
+        yield pd.DataFrame(out, columns=names)
+
+
+def _resolved(items: DataFrame, length: int) -> DataFrame:
+    """v, d1, d2, runs for items (v, d1, d2, n, kinds, anchor, lo, hi, data): which windows of each piece are repeated in its group.
+
+    Groups of one kind hold its copies, all of whose windows are repeated.
+    """
+    whole = items.where("kinds = 1").select("v", "d1", "d2", F.array(F.struct(F.lit(0).alias("s"), (F.length("data") - length + 1).alias("e"))).alias("runs"))
+    ordered = items.where((F.col("kinds") > 1) & (F.col("kinds") <= CROWD))
+    ordered = ordered.repartition("v").sortWithinPartitions("v", "d1", "d2").select("v", "d1", "d2", "data", "anchor", "n").mapInPandas(lambda it: _sorted_groups(it, length), _FOUND)
+    done = whole.unionByName(ordered)
+    crowded = items.where(F.col("kinds") > CROWD)
+    if crowded.isEmpty():
+        return done
+    # a range of one distance makes equal windows equal items, so this ends
+    halves = written(crowded.dropDuplicates(["v", "d1", "d2"]).mapInPandas(lambda it: _halved(it, length), _HALVES))
+    kinds = halves.groupBy("v2", "e1", "e2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("anchor", "lo", "hi", "data")))
+    counts = halves.groupBy("v2", "e1", "e2").agg(F.sum("n").alias("n")).groupBy("v2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    next_items = written(kinds.join(counts, "v2").select(F.col("v2").alias("v"), F.col("e1").alias("d1"), F.col("e2").alias("d2"), "n", "kinds", "anchor", "lo", "hi", "data"))
+    found = _resolved(next_items, length).select(F.col("v").alias("v2"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "runs")
+    moved = F.transform("runs", lambda r: F.struct((r["s"] + F.col("shift")).alias("s"), (r["e"] + F.col("shift")).alias("e")))
+    up = halves.select("v", "d1", "d2", "shift", "v2", "e1", "e2").join(found, ["v2", "e1", "e2"]).select("v", "d1", "d2", moved.alias("runs"))
+    return done.unionByName(up.groupBy("v", "d1", "d2").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def _cut(batches: Iterator[pd.DataFrame], length: int, with_text: bool) -> Iterator[pd.DataFrame]:
@@ -224,31 +301,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     found = written(rows.select("t1", "t2", "text").mapInPandas(lambda it: _pieces_of(it, length), _PIECES))
     shared = found.groupBy("v").agg(F.sum("n").alias("all")).where("all > 1").select("v")
     # copies of a text have the same pieces: they are kept once, with their number
-    own = written(found.join(shared, "v").groupBy("t1", "t2", "v", "d1", "d2", "p", "windows").agg(F.sum("n").cast("long").alias("n"), F.first("more").alias("more")))
-    kinds = own.groupBy("v", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "p", "windows")).alias("at"))
+    own = written(found.join(shared, "v").groupBy("t1", "t2", "v", "d1", "d2", "p", "windows", "anchor").agg(F.sum("n").cast("long").alias("n"), F.first("more").alias("more")))
+    kinds = own.groupBy("v", "d1", "d2").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "p", "windows", "anchor")).alias("at"))
     groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"))
     kinds = written(kinds.join(groups, "v").select("v", "d1", "d2", "n", "kinds", "at.*"))
 
     whole = kinds.where("kinds = 1 AND n > 1").select("v", "d1", "d2", F.array(F.struct(F.lit(0).alias("s"), F.col("windows").alias("e"))).alias("runs"))
-    asked = kinds.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("v", "d1", "d2", "n", "kinds", "p", "windows")).alias("asked"))
+    asked = kinds.where("kinds > 1").groupBy("t1", "t2").agg(F.collect_list(F.struct("v", "d1", "d2", "n", "kinds", "p", "windows", "anchor")).alias("asked"))
     texts = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
     asked = asked.join(texts, ["t1", "t2"])
-    parts = (
-        rows.join(asked, (rows["t1"] == asked["t1"]) & (rows["t2"] == asked["t2"]) & rows["doc_id"].eqNullSafe(asked["first"]))
-        .select(F.encode("text", "UTF-8").alias("bytes"), "asked")
-        .select(F.explode(F.expr(f"transform(asked, x -> named_struct('v', x.v, 'd1', x.d1, 'd2', x.d2, 'n', x.n, 'kinds', x.kinds, 'data', substring(bytes, cast(x.p + 1 as int), x.windows + {length - 1})))")).alias("x"))
-        .select("x.*")
+    cut = f"named_struct('v', x.v, 'd1', x.d1, 'd2', x.d2, 'n', x.n, 'kinds', x.kinds, 'anchor', x.anchor, 'data', substring(bytes, cast(x.p + 1 as int), x.windows + {length - 1}))"
+    source = rows.select("doc_id", "t1", "t2", F.encode("text", "UTF-8").alias("bytes"))
+    items = (
+        source.join(asked, (source["t1"] == asked["t1"]) & (source["t2"] == asked["t2"]) & source["doc_id"].eqNullSafe(asked["first"]))
+        .select(F.explode(F.expr(f"transform(asked, x -> {cut})")).alias("x"))
+        .select("x.*", F.lit(0).alias("lo"), F.lit(length - ANCHOR + 1).alias("hi"))
     )
-    parts = written(parts)
-    ordered = parts.where(F.col("kinds") <= CROWD)
-    ordered = ordered.repartition("v").sortWithinPartitions("v", "d1", "d2").select("v", "d1", "d2", "data", "n").mapInPandas(lambda it: _sorted_groups(it, length), _FOUND)
-    # the digests of a crowded group's windows are spread by themselves, not by group
-    crowded = parts.where(F.col("kinds") > CROWD).dropDuplicates(["v", "d1", "d2"]).select("v", "d1", "d2", "data", "n")
-    single = crowded.mapInPandas(lambda it: _window_digests(it, length), "v long, d1 long, d2 long, o int, n long, w binary")
-    twice = single.groupBy("w").agg(F.sum("n").alias("all")).where("all > 1").select("w")
-    counted = single.join(twice, "w").groupBy("v", "d1", "d2").agg(F.collect_set("o").alias("os"))
-    counted = counted.select("v", "d1", "d2", F.transform("os", lambda o: F.struct(o.alias("s"), (o + 1).alias("e"))).alias("runs"))
-    hits = whole.unionByName(ordered).unionByName(counted)
+    hits = whole.unionByName(_resolved(written(items), length))
 
     places = own.select("t1", "t2", "v", "d1", "d2", F.explode(F.concat(F.array("p"), F.coalesce("more", F.array().cast("array<long>")))).alias("p"))
     spans = (
