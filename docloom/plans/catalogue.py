@@ -414,7 +414,7 @@ def transition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexrank.ranked(V.documents(spark, sf_dir)).where(F.size("nodes") > 0)
+    return lexrank.ranked(V.documents(spark, sf_dir)).where(F.size("result.scores") > 0)
 
 
 @query(f"{_STEPS}, {_RANKS} SELECT doc_id, position, score FROM final WHERE converged", ints="position")
