@@ -25,7 +25,8 @@ from docloom.llm._common import docs_of, gapless, written
 WINDOW = 2048
 #: Words whose ids a worker remembers, twice at most.
 CACHE_WORDS = 400_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s']*)")
+#: Letters and ASCII marks behind them: two parts that the tokenizer never joins. No combining marks, which do join.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 

@@ -32,7 +32,7 @@ def brute_topk(rows, queries, k):
 def test_topk(spark, block):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
-    rows += [(200 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(300, [0.0] * 6), (301, None), (302, [1.0, None, 0, 0, 0, 0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (None, [1.0] * 6), (305, [1.0, 2.0]), (306, [3.0, 4.0])]
+    rows += [(200 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(300, [0.0] * 6), (301, None), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (None, [1.0] * 6), (305, [1.0, 2.0]), (306, [3.0, 4.0])]
     queries = [r for r in rows if r[0] is not None and r[0] % 10 == 0] + [(305, [1.0, 2.0]), (303, [float("nan")] * 6)]
     got = topk.topk(vectors_of(spark, rows), vectors_of(spark, queries), k=5, block_rows=block, query_rows=4).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_topk(rows, queries, 5)
