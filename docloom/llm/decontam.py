@@ -51,9 +51,10 @@ def _is_slot(word: Column) -> Column:
 
 def _windows(df: DataFrame, keys: list[str], text_col: str, words: int) -> DataFrame:
     """keys, at, h, slots: each window's place, the hash of its template and the values of its placeholders, null if there are none."""
-    df = df.select(*keys, marked_words(F.col(text_col)).alias("w")).where(F.size("w") >= words)
+    # not a filter on the number of words: it would be pushed below, and the words made twice
+    df = df.select(*keys, marked_words(F.col(text_col)).alias("w"))
     df = df.select(*keys, "w", F.transform("w", template).alias("t"), F.exists("w", _is_slot).alias("some"))
-    place = F.sequence(F.lit(1), F.size("w") - (words - 1))
+    place = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - (words - 1))).otherwise(F.array().cast("array<int>"))
     plain = F.transform(place, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("t", i, words)).alias("h"), F.lit(None).cast("array<string>").alias("slots")))
     full = F.transform(
         place, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("t", i, words)).alias("h"), F.filter(F.slice("w", i, words), _is_slot).alias("slots"))
