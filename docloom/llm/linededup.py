@@ -45,12 +45,16 @@ def _digest(line: str) -> list[Column]:
 
 
 def _frames(parts: int) -> Column:
-    """Hashes of the line less each of its parts, cut for both lengths that the shorter of two lines one edit apart can have."""
+    """The line less each of its parts, cut for both lengths that the shorter of two lines one edit apart can have.
+
+    An array of structs: key, a hash of what is left; lo and hi, between which the one edit then is.
+    """
     n, line = F.length("line"), F.col("line")
 
     def frame(r: Column, j: Column) -> Column:
-        head, tail = F.floor(j * r / parts).cast("int"), (r - F.floor((j + 1) * r / parts)).cast("int")
-        return F.xxhash64(r, j, F.substr(line, F.lit(1), head), F.substr(line, n - tail + 1, tail))
+        head, upto = F.floor(j * r / parts).cast("int"), F.floor((j + 1) * r / parts).cast("int")
+        left = F.xxhash64(r, j, F.substr(line, F.lit(1), head), F.substr(line, n - (r - upto) + 1, r - upto))
+        return F.struct(left.alias("key"), (head + 1).alias("lo"), F.least(upto + 1, n).alias("hi"))
 
     cut = F.sequence(F.lit(0), F.lit(parts - 1))
     return F.flatten(F.transform(F.array(n, n - 1), lambda r: F.transform(cut, lambda j: frame(r, j))))
@@ -71,16 +75,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("ord", "th", "pos")
     # the keys go with the digest, as the texts of the lines don't
     distinct = written(
-        lines.select(*_digest("line"), F.when(F.length("line") >= NEAR, _frames(2)).alias("halves"), place.alias("at"))
+        lines.select(*_digest("line"), F.when(F.length("line") >= NEAR, F.transform(_frames(2), lambda x: x["key"])).alias("halves"), place.alias("at"))
         .groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     )
     asked = _sharing(distinct.select("h1", F.explode("halves").alias("key")))
     texts = lines.where(F.length("line") >= NEAR).select(F.xxhash64("line").alias("h1"), "line", place.alias("at")).join(asked, "h1")
     texts = written(texts.groupBy("h1", "line").agg(F.min("at").alias("at")))
-    close = _sharing(texts.select("h1", F.explode(_frames(PARTS)).alias("key")))
+    # only characters in a part whose rest another line shares are deleted
+    frames = texts.select("h1", F.explode(_frames(PARTS)).alias("x")).select("h1", "x.*")
+    shared = frames.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    close = frames.join(shared, "key").groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", "hi")))).alias("places"))
     texts = written(texts.join(close, "h1"))
-    cut = F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))).alias("v")))
-    variants = texts.select("h1", "at", F.explode(cut).alias("x")).select("h1", "at", "x.i", "x.v")
+    less = lambda i: F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))
+    variants = texts.select("h1", "at", F.explode(F.transform("places", lambda i: F.struct(i.alias("i"), F.xxhash64(less(i)).alias("v")))).alias("x")).select("h1", "at", "x.i", "x.v")
     # the line that has one character else at the same place
     least = variants.groupBy("v", "i").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "h1")).alias("m")).where("n > 1").select("v", "i", "m")
     swapped = variants.join(least, ["v", "i"]).where(F.col("m.at") < F.col("at")).select("h1", "m")
@@ -110,9 +117,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives no rows.
     """
     gone = dropped_lines(docs, id_col, text_col).select(F.col("ord").alias("_ord"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_ord", "_th", "_gone")]
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_ord", "_th", "_gone", "_lines")]
     rows = docs.select(*rest, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_ord"), F.xxhash64(text_col).alias("_th")).join(gone, ["_ord", "_th"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    # a column of its own, as an expression inside a lambda is evaluated for each element
+    rows = rows.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
+    lines = F.col("_lines")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
