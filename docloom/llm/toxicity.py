@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, through a block-max inverted index.
 
-Terms are words and word beginnings. Those whose frequency differs most between the
-labels of the sample make the vocabulary. The labelled vectors lie in an inverted index
+Terms are words and word beginnings. Those that are several times as frequent in the toxic examples
+of the sample make the vocabulary. The labelled vectors lie in an inverted index
 cut into blocks of neighbouring examples with the largest weight of each term in each
 block; a query visits blocks by falling upper bound and stops when no block left can hold one
 of its nearest, so the result is exact. Votes count by distance, and are calibrated by the
@@ -23,8 +23,9 @@ from docloom.llm._common import bounded_ids, id_fold, written
 
 #: Labelled documents of each label at most, terms, neighbours that vote, examples a block.
 LABELLED, VOCABULARY, NEIGHBOURS, BLOCK = 4096, 512, 15, 32
-#: A term's least chi-square against the label, and the documents of the sample it must be in.
-MIN_CHI2, MIN_DOCS = 25.0, 5
+#: A term's least chi-square against the label, the documents of the sample it must be in, and how many times as
+#: frequent it must be in toxic examples. Other terms say little, and most texts would have some of them.
+MIN_CHI2, MIN_DOCS, MIN_LIFT = 25.0, 5, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms, written with a star.
 _STEMS = (3, 4, 5, 6)
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
     chosen = (
         sample.select("text", "label").mapInPandas(pairs, "term string, label int").groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("label").alias("hits"))
-        .where((F.col("docs") >= MIN_DOCS) & (F.col("docs") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
+        .where((F.col("docs") >= MIN_DOCS) & (F.col("docs") < n) & (a * (n - n1) >= MIN_LIFT * b * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
         .orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
     ) if n1 and n1 < n else []
     df = {r["term"]: r["docs"] for r in chosen}
