@@ -27,11 +27,11 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-def threshold_topk(query: np.ndarray, own: int | None, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int, stride: int = 16) -> tuple[list[tuple[int, int]], int]:
+def threshold_topk(query: np.ndarray, own: int | None, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int, stride: int = 8) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, id) of one block, ties to the smaller id, and how many rows were scored.
 
     ``rows``: n x d; ``order``: d x n, per dimension the rows by ascending value. The
-    lists are walked ``stride`` entries at a time, the stride doubling. The walk stops
+    lists are walked ``stride`` entries at a time, the stride growing fourfold. The walk stops
     only when the threshold is under the k-th score: at equality a smaller id may still come.
     """
     n, d = rows.shape
@@ -44,17 +44,19 @@ def threshold_topk(query: np.ndarray, own: int | None, rows: np.ndarray, ids: np
     lists = np.where((q > 0)[:, None], lists[:, ::-1], lists) if len(live) else lists
     while depth < n:
         end = min(n, depth + stride) if len(live) else n
-        met = np.unique(lists[:, depth:end]) if len(live) else np.arange(n)
-        fresh = met[~seen[met]]
+        met = np.zeros(n, bool)
+        met[lists[:, depth:end] if len(live) else slice(None)] = True
+        fresh = np.flatnonzero(met & ~seen)
         seen[fresh] = True
-        scores = rows[fresh] @ query
+        # gathering many rows costs more than multiplying the block
+        scores = (rows @ query)[fresh] if 4 * len(fresh) > n else rows[fresh] @ query
         if len(fresh) > k + 1:  # one more than k, as the query's own row may be among them; ties are kept
             cut = np.partition(scores, len(fresh) - k - 1)[len(fresh) - k - 1]
             keep = scores >= cut
             fresh, scores = fresh[keep], scores[keep]
         found = [(int(s), int(i)) for s, i in zip(scores, ids[fresh], strict=True) if i != own]
         best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
-        depth, stride = end, stride * 2
+        depth, stride = end, stride * 4
         if len(best) == k and depth < n:
             edge = rows[lists[:, depth - 1], live]
             if int(edge @ q) < best[-1][0]:
