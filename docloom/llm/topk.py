@@ -50,11 +50,13 @@ def threshold_topk(query: np.ndarray, own: int | None, rows: np.ndarray, ids: np
         seen[fresh] = True
         # gathering many rows costs more than multiplying the block
         scores = (rows @ query)[fresh] if 4 * len(fresh) > n else rows[fresh] @ query
-        if len(fresh) > k + 1:  # one more than k, as the query's own row may be among them; ties are kept
-            cut = np.partition(scores, len(fresh) - k - 1)[len(fresh) - k - 1]
-            keep = scores >= cut
+        if own is not None:  # before the cut, as the query's own rows can be many
+            others = ids[fresh] != own
+            fresh, scores = fresh[others], scores[others]
+        if len(fresh) > k:  # ties are kept
+            keep = scores >= np.partition(scores, len(fresh) - k)[len(fresh) - k]
             fresh, scores = fresh[keep], scores[keep]
-        found = [(int(s), int(i)) for s, i in zip(scores, ids[fresh], strict=True) if i != own]
+        found = [(int(s), int(i)) for s, i in zip(scores, ids[fresh], strict=True)]
         best = sorted([*best, *found], key=lambda x: (-x[0], x[1]))[:k]
         depth, stride = end, stride * 4
         if len(best) == k and depth < n:
