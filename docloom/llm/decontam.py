@@ -4,6 +4,10 @@ Numbers, names and units become typed placeholders, in documents as in benchmark
 a question with other values has the same template. Windows of WORDS template words are joined by
 hash; the values behind the placeholders must then map one to one along each alignment. A document
 is contaminated by an item if it holds at least SHARE of the item's windows.
+
+Names that begin a sentence look like any other first word. So there is a second template, in which
+every capitalised word is a name. Its windows are added where they differ, and an item is also held
+if it is by the windows of both templates together.
 """
 
 from __future__ import annotations
@@ -31,13 +35,17 @@ MARKS = (
     (r"([\p{Ll},;] )(\p{Lu}\p{Ll})", f"$1{_NAME}$2"),
 )
 SPLIT = r"[^\p{L}\p{N}\x01\x02]+"
+#: A capitalised word that MARKS takes for no name, as at the start of a text, line or sentence; its mark; where words are split then.
+_FIRST = "\u0003"
+FIRST, SPLIT_FIRST = r"(?<![\p{L}\p{N}\x01\x02])(\p{Lu}\p{Ll})", r"[^\p{L}\p{N}\x01\x02\x03]+"
 
 
 def marked_words(text: Column) -> Column:
-    """The words of a text, in lower case; names and units begin with a mark, numbers with a digit."""
+    """The words of a text, in lower case; names, units and other capitalised words begin with a mark, numbers with a digit."""
     for pattern, to in MARKS:
         text = F.regexp_replace(text, pattern, to)
-    return F.array_remove(F.split(F.lower(text), SPLIT), "")
+    text = F.regexp_replace(F.translate(text, _FIRST, " "), FIRST, f"{_FIRST}$1")
+    return F.array_remove(F.split(F.lower(text), SPLIT_FIRST), "")
 
 
 def template(word: Column) -> Column:
@@ -50,16 +58,29 @@ def _is_slot(word: Column) -> Column:
 
 
 def _windows(df: DataFrame, keys: list[str], text_col: str, words: int) -> DataFrame:
-    """keys, at, h, slots: each window's place, the hash of its template and the values of its placeholders, null if there are none."""
+    """keys, at, second, h, slots: each window's place, its template, the template's hash and the values of its placeholders, null if there are none.
+
+    Windows of the second template are there only if they hold a capitalised word that the first takes for no name.
+    """
     # not a filter on the number of words: it would be pushed below, and the words made twice
-    df = df.select(*keys, marked_words(F.col(text_col)).alias("w"))
-    df = df.select(*keys, "w", F.transform("w", template).alias("t"), F.exists("w", _is_slot).alias("some"))
-    place = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - (words - 1))).otherwise(F.array().cast("array<int>"))
-    plain = F.transform(place, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("t", i, words)).alias("h"), F.lit(None).cast("array<string>").alias("slots")))
-    full = F.transform(
-        place, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("t", i, words)).alias("h"), F.filter(F.slice("w", i, words), _is_slot).alias("slots"))
-    )
-    return df.select(*keys, F.explode(F.when(F.col("some"), full).otherwise(plain)).alias("x")).select(*keys, "x.at", "x.h", "x.slots")
+    df = df.select(*keys, marked_words(F.col(text_col)).alias("m"))
+    begins = lambda x: (x >= _FIRST) & (x < "\u0004")
+    slot = lambda x: _is_slot(x) & ~begins(x)
+    t = F.transform("m", lambda x: F.when(begins(x), F.substring(x, 2, 1 << 30)).otherwise(template(x)))
+    firsts = F.filter(F.transform("m", lambda x, i: F.when(begins(x), i + 1)), lambda i: i.isNotNull())
+    df = df.select(*keys, "m", t.alias("t"), firsts.alias("firsts"), F.exists("m", slot).alias("some"))
+    df = df.select(*keys, "m", "t", "firsts", "some", F.when(F.size("firsts") > 0, F.zip_with("m", "t", lambda x, y: F.when(begins(x), F.lit("\u0001name")).otherwise(y))).alias("t2"))
+    most = F.size("m") - (words - 1)
+    none = F.array().cast("array<int>")
+    place = F.when(most >= 1, F.sequence(F.lit(1), most)).otherwise(none)
+    around = F.array_distinct(F.flatten(F.transform("firsts", lambda p: F.sequence(F.least(F.greatest(p - (words - 1), F.lit(1)), most), F.least(p, most)))))
+    again = F.when((most >= 1) & (F.size("firsts") > 0), around).otherwise(none)
+    window = lambda second, t, slots: lambda i: F.struct(i.alias("at"), F.lit(second).alias("second"), F.xxhash64(F.slice(t, i, words)).alias("h"), slots(i).alias("slots"))
+    bare = window(False, "t", lambda i: F.lit(None).cast("array<string>"))
+    full = window(False, "t", lambda i: F.filter(F.slice("m", i, words), slot))
+    first = F.when(F.col("some"), F.transform(place, full)).otherwise(F.transform(place, bare))
+    second = F.transform(again, window(True, "t2", lambda i: F.transform(F.filter(F.slice("m", i, words), _is_slot), lambda x: F.translate(x, _FIRST, _NAME))))
+    return df.select(*keys, F.explode(F.concat(first, second)).alias("x")).select(*keys, "x.at", "x.second", "x.h", "x.slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -67,7 +88,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, shar
 
     ``matched`` counts the item's windows found, ``windows`` all of them; ``changed`` tells that a value differs.
     Along one alignment (the same distance between the places) the values of a document and an item must
-    correspond one to one; if they don't, only windows without placeholders count there.
+    correspond one to one; if they don't, only windows without placeholders count there. Where the first template
+    suffices, ``matched`` and ``changed`` are its own.
 
     Null texts, and texts and items of fewer words than a window, match nothing. Documents alike in
     id and text (``th`` is the text's hash) are one; null ids are ids like any other, so a document without an id
@@ -75,28 +97,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, shar
     ignored; an empty table on either side gives no rows.
     """
     items = _windows(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")), ["item_id"], "text", words)
-    items = written(items.groupBy("item_id", "at", "h", "slots").agg(F.lit(1).alias("one")).drop("one"))
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
-    right = items.select(F.col("item_id"), F.col("at").alias("b"), F.col("h").alias("bh"), F.coalesce("slots", F.array().cast("array<string>")).alias("b_slots"))
+    items = written(items.groupBy("item_id", "at", "second", "h", "slots").agg(F.lit(1).alias("one")).drop("one"))
+    sizes = items.where(~F.col("second")).groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
+    right = items.select(F.col("item_id"), F.col("at").alias("b"), F.col("second").alias("b_second"), F.col("h").alias("bh"), F.coalesce("slots", F.array().cast("array<string>")).alias("b_slots"))
     small = items.count() <= BROADCAST_WINDOWS
     right, sizes = (F.broadcast(right), F.broadcast(sizes)) if small else (right, sizes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     hits = _windows(rows, ["doc_id", "th"], "text", words).join(right, F.col("h") == F.col("bh"))
     pairs = F.arrays_zip(F.col("b_slots").alias("x"), F.coalesce("slots", F.array().cast("array<string>")).alias("y"))
-    hits = hits.select("doc_id", "th", "item_id", (F.col("at") - F.col("b")).alias("shift"), "b", F.when(F.size("b_slots") > 0, pairs).alias("pairs"))
-    lines = hits.groupBy("doc_id", "th", "item_id", "shift").agg(
-        F.collect_set(F.when(F.col("pairs").isNull(), F.col("b"))).alias("free"),
-        F.collect_set(F.when(F.col("pairs").isNotNull(), F.col("b"))).alias("bound"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("map"),
-    )
-    one = lambda side: F.size(F.array_distinct(F.transform("map", lambda p: p[side]))) == F.size("map")
-    lines = lines.select(
-        "doc_id", "th", "item_id",
-        F.when(one("x") & one("y"), F.array_union("free", "bound")).otherwise(F.col("free")).alias("found"),
-        F.exists("map", lambda p: p["x"] != p["y"]).alias("changed"),
+    hits = hits.select(
+        "doc_id", "th", "item_id", (F.col("at") - F.col("b")).alias("shift"), "b", (F.col("second") | F.col("b_second")).alias("second"), F.when(F.size("b_slots") > 0, pairs).alias("pairs")
     )
-    whole = lines.groupBy("doc_id", "th", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("matched"), F.max("changed").alias("changed"))
-    return whole.join(sizes, "item_id").where(F.col("matched") >= F.ceil(F.col("windows") * share)).select("doc_id", "th", "item_id", "matched", "windows", "changed")
+    sides = {"1": ~F.col("second"), "2": F.lit(True)}
+    lines = hits.groupBy("doc_id", "th", "item_id", "shift").agg(*(
+        c for k, ok in sides.items() for c in (
+            F.collect_set(F.when(ok & F.col("pairs").isNull(), F.col("b"))).alias(f"free{k}"),
+            F.collect_set(F.when(ok & F.col("pairs").isNotNull(), F.col("b"))).alias(f"bound{k}"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.col("pairs"))))).alias(f"map{k}"),
+        )
+    ))
+    one = lambda m, side: F.size(F.array_distinct(F.transform(m, lambda p: p[side]))) == F.size(m)
+    lines = lines.select("doc_id", "th", "item_id", *(
+        c for k in sides for c in (
+            F.when(one(f"map{k}", "x") & one(f"map{k}", "y"), F.array_union(f"free{k}", f"bound{k}")).otherwise(F.col(f"free{k}")).alias(f"found{k}"),
+            F.exists(f"map{k}", lambda p: p["x"] != p["y"]).alias(f"changed{k}"),
+        )
+    ))
+    whole = lines.groupBy("doc_id", "th", "item_id").agg(*(
+        c for k in sides for c in (
+            F.size(F.array_distinct(F.flatten(F.collect_list(f"found{k}")))).cast("long").alias(f"matched{k}"), F.max(f"changed{k}").alias(f"changed{k}")
+        )
+    ))
+    whole = whole.join(sizes, "item_id")
+    enough = lambda k: F.col(f"matched{k}") >= F.ceil(F.col("windows") * share)
+    either = lambda c: F.when(enough("1"), F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c)
+    return whole.where(enough("1") | enough("2")).select("doc_id", "th", "item_id", either("matched"), "windows", either("changed"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
