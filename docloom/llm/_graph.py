@@ -13,20 +13,21 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select("b", "m").withColumnRenamed("b", "a").withColumnRenamed("m", "b").unionByName(least.select("a", F.col("m").alias("b")))
+        out = down.join(least.hint("merge"), "a").select("b", "m").withColumnRenamed("b", "a").withColumnRenamed("m", "b").unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches. ``a`` and ``b`` hold long ids.
 
     Links are replaced by stars around smaller nodes, two steps a round, until nothing changes;
-    every round ends in a table in the shared folder. Only counts go to the driver. Nulls and
-    self-links are passed over; without links the result is empty.
+    every round ends in a table in the shared folder. No side of a join is broadcast, as both grow with the links. Only counts go to the driver. Nulls and
+    self-links are passed over; without links the result is empty. After ``rounds`` rounds, if given, it ends: then
+    nodes with the same component are linked, but a component may still have several names.
     """
     edges = written(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -34,7 +35,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     was = sign(edges)
-    while was[0]:
+    done = 0
+    while was[0] and done != rounds:
+        done += 1
         new = written(_step(_step(edges, True), False))
         now = sign(new)
         dropped(edges)
@@ -42,4 +45,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now == was:
             break
         was = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    # of an unfinished search some nodes have several smaller neighbours, or one that has such itself
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -2,13 +2,14 @@
 
 Fingerprints that differ in at most three bits differ in at most one bit in one of their two
 halves. So each half is indexed under its 32 variants with one bit as a wildcard: fingerprints
-with such a near half share a key, whatever bit differs. Pairs of a key are verified on all 64 bits.
-
-Equal fingerprints are one node. A key that more than CROWD fingerprints share is not expanded into
-pairs: those fingerprints go through a linear scheme. Each is put under its 65 variants with at most
-one bit flipped, the smallest under a variant is the variant's centre, and every fingerprint is
-linked to the centres of all variants that it reaches with at most two flips. Such a link spans at most three
-bits, and any two fingerprints within three bits meet at a variant, so the components are the same.
+with such a near half share a key, whatever bit differs. Equal fingerprints are one node.
+
+No key is expanded into pairs. The least fingerprint under a key stands for it, all others are verified
+against that one on all 64 bits, and the links so far are joined into components. A key is settled if its
+fingerprints lie in one component, or if it had only two. What is left of the others goes under keys that
+are narrower by the same rule: the half that the key leaves open is cut in two again, and again every
+part has its one-wildcard variants. After DEPTH cuts four bits and the wildcards are open, so that a key
+holds at most 2 ** (4 + DEPTH) fingerprints; only then pairs are listed, and only between components.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm._common import written
+from docloom.llm._common import dropped, written
 from docloom.llm._graph import components
 
 SEED, SHINGLE, BITS = 42, 3, 3
-#: Fingerprints a key up to which its pairs are listed.
-CROWD = 24
+#: Cuts of the 64 bits: into 32, 16, 8 and 4.
+DEPTH = 4
+#: Rounds of the component search between two cuts; whatever they leave apart goes on as unsettled.
+ROUNDS = 2
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -62,30 +65,54 @@ def _near(a: Column, b: Column, bits: int = BITS) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= bits
 
 
+def _variants(members: DataFrame, depth: int) -> DataFrame:
+    """(key, fp) for members (key, at, fp): ``at`` is where the bits lie that the key leaves open, 64 >> depth of them.
+
+    The open bits are cut in two; each part's bits but one, with the part and the place of that bit, join the key.
+    The other part is what the new key leaves open, besides the wildcards.
+    """
+    width = 64 >> (depth + 1)
+    mask = (1 << width) - 1
+    part = members.select("key", "at", "fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("h"))
+    part = part.select("key", "fp", (F.col("at") + F.col("h") * width).alias("own"), (F.col("at") + (1 - F.col("h")) * width).alias("at"))
+    wild = part.select("key", "fp", "own", "at", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("w"))
+    bits = F.expr("shiftrightunsigned(fp, own)").bitwiseAND(F.lit(mask).cast("long")).bitwiseAND(F.expr("~shiftleft(1L, w)"))
+    here = bits.bitwiseOR(F.shiftleft((F.col("own") + F.col("w")).cast("long"), 32))
+    # the first key is exact; narrower ones are hashes, where a collision can only bring more to be verified
+    return wild.select((here if depth == 0 else F.xxhash64("key", here)).alias("key"), "at", "fp")
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints ``fp``, all at most three bits apart, that join the same components as all such pairs."""
-    half = F.when(F.col("h") == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    wild = F.expr("~shiftleft(1L, w)")
-    keys = (
-        nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("h"))
-        .select("fp", "h", half.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("w"))
-        .select("fp", F.col("part").bitwiseAND(wild).bitwiseOR(F.shiftleft((F.col("h") * 32 + F.col("w")).cast("long"), 32)).alias("key"))
-    )
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"))
-    two = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = written(keys.join(shared.where("n > 2").select("key", "n"), "key"))
-    few = more.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    listed = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b")
-    pairs = two.unionByName(listed).where(_near(F.col("a"), F.col("b"))).distinct()
-
-    crowd = more.where(F.col("n") > CROWD).select("fp").distinct()
-    one = crowd.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
-    bit = lambda i: F.expr(f"if({i} < 64, shiftleft(1L, {i}), 0L)")
-    centres = one.select("fp", F.col("fp").bitwiseXOR(bit("i")).alias("at")).groupBy("at").agg(F.min("fp").alias("a"))
-    wide = one.select("fp", "i", F.explode(F.sequence(F.least(F.col("i") + 1, F.lit(64)), F.lit(64))).alias("j"))
-    wide = wide.select(F.col("fp").alias("b"), F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(F.when(F.col("i") < 64, bit("j")).otherwise(F.lit(0).cast("long"))).alias("at"))
-    stars = wide.join(centres, "at").where("a <> b").select("a", "b").where(_near(F.col("a"), F.col("b"))).distinct()
-    return pairs.unionByName(stars)
+    """(a, b): pairs of distinct fingerprints ``fp``, all at most three bits apart, that join the same components as all such pairs.
+
+    At most one link a key and fingerprint, so the links are linear in the fingerprints however they crowd.
+    """
+    spark = nodes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    members = nodes.repartition(tasks, "fp").select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "fp")
+    found, of_key = None, Window.partitionBy("key", "at")
+    for depth in range(DEPTH):
+        ranked = _variants(members, depth).withColumn("a", F.first("fp").over(of_key.orderBy("fp")))
+        shared = written(ranked.where("fp <> a").withColumnRenamed("fp", "b"))
+        new = shared.where(_near(F.col("a"), F.col("b"))).select("a", "b").distinct()
+        found = written(new if found is None else found.unionByName(new).distinct())
+        # a key with another two besides its least has a pair that was not verified
+        more = shared.groupBy("key", "at").agg(F.min("a").alias("a"), F.min("b").alias("lo"), F.max("b").alias("hi"), F.max((~_near(F.col("a"), F.col("b"))).cast("int")).alias("far"))
+        more = more.where("lo <> hi AND far = 1").select("key", "at", "a")
+        open_keys = written(more)
+        if open_keys.isEmpty():
+            return found
+        of = components(found, "a", "b", ROUNDS).select(F.col("node").alias("_fp"), "component")
+        rest = shared.select("key", "at", F.col("b").alias("fp")).join(open_keys.select("key", "at").hint("merge"), ["key", "at"])
+        rest = rest.unionByName(open_keys.select("key", "at", F.col("a").alias("fp"))).join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left")
+        rest = written(rest.select("key", "at", "fp", F.coalesce("component", "fp").alias("c")))
+        several = rest.groupBy("key", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "at")
+        members = written(rest.join(several.hint("merge"), ["key", "at"]))
+        if members.isEmpty():
+            return found
+    sides = members.select("key", "at", F.col("fp").alias("a"), F.col("c").alias("ca")).join(members.select("key", "at", F.col("fp").alias("b"), F.col("c").alias("cb")).hint("merge"), ["key", "at"])
+    last = sides.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("a"), F.col("b"))).select("a", "b")
+    return found.unionByName(last).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -98,10 +125,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col, shingle))
     nodes = written(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = links(nodes.select("fp"))
-    named = found.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
+    named = found.join(nodes.select(F.col("fp").alias("a"), F.col("least").alias("la")).hint("merge"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("least").alias("lb")).hint("merge"), "b")
     groups = components(named, "la", "lb")
-    of = nodes.join(groups, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id"))
-    return rows.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = nodes.join(groups.hint("merge"), F.col("least") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id"))
+    return rows.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

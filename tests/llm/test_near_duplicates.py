@@ -45,18 +45,38 @@ def reach(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("crowd", [1000, 2])
-def test_links_join_the_same_components_as_all_pairs(spark, monkeypatch, crowd):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
-    rng = random.Random(crowd)
-    base = [rng.getrandbits(64) for _ in range(12)]
-    fps = {0, 2**64 - 1}
-    for b in base:
+def balls(rng):
+    """Groups of fingerprints a few bits around centres."""
+    for _ in range(12):
+        b = rng.getrandbits(64)
         for _ in range(15):
             x = b
             for _ in range(rng.randint(0, 4)):
                 x ^= 1 << rng.randrange(64)
-            fps.add(x)
+            yield x
+
+
+def halves(rng):
+    """Many that share one half: whatever is near there is so in the other."""
+    low, centres = rng.getrandbits(32), [rng.getrandbits(32) for _ in range(40)]
+    for _ in range(300):
+        yield (rng.choice(centres) ^ 1 << rng.randrange(32) ^ 1 << rng.randrange(32)) << 32 | low ^ (rng.random() < 0.3) << rng.randrange(32)
+
+
+def dense(rng):
+    """All values of a few bits, and chains from bit to bit."""
+    base = rng.getrandbits(64)
+    for k in range(256):
+        yield base ^ k << 20 ^ (k & 0x55) << 50
+    for k in range(0, 64, 4):
+        base ^= 0xF << k
+        yield base
+
+
+@pytest.mark.parametrize(("kind", "depth"), [(balls, 4), (halves, 4), (dense, 4), (halves, 1)])
+def test_links_join_the_same_components_as_all_pairs(spark, monkeypatch, kind, depth):
+    monkeypatch.setattr(simhash, "DEPTH", depth)
+    fps = {0, 2**64 - 1, *kind(random.Random(kind.__name__))}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
     near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 3
