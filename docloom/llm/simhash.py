@@ -1,15 +1,16 @@
 """Near-duplicates by SimHash (Charikar, 2002) and deletion-variant signatures.
 
 Fingerprints that differ in at most three bits differ in at most one bit in one of their two
-halves. So each half is indexed under its 32 variants with one bit as a wildcard: fingerprints
-with such a near half share a key, whatever bit differs. Equal fingerprints are one node.
-
-No key is expanded into pairs. The least fingerprint under a key stands for it, all others are verified
-against that one on all 64 bits, and the links so far are joined into components. A key is settled if its
-fingerprints lie in one component, or if it had only two. What is left of the others goes under keys that
-are narrower by the same rule: the half that the key leaves open is cut in two again, and again every
-part has its one-wildcard variants. After DEPTH cuts four bits and the wildcards are open, so that a key
-holds at most 2 ** (4 + DEPTH) fingerprints; only then pairs are listed, and only between components.
+halves. So each half is indexed as it is and under its 32 variants with one bit as a wildcard: two fingerprints
+with such a near half share a key. Equal fingerprints are one node. Under a variant only those that differ in its
+wildcard are compared, as the others share the whole half.
+
+No key is expanded into pairs. The least fingerprint of each side of a key stands for that side; all others are
+verified against it, and against the one before them, on all 64 bits, and the links so far are joined into components.
+A key is settled if its fingerprints lie in one component, or if a side has its least alone. What is left
+of the others goes under keys that are narrower by the same rule: the half that the key leaves open is cut in two
+again, and again every part has its one-wildcard variants. After DEPTH cuts four bits and the wildcards are
+open, so that a key holds at most 2 ** (4 + DEPTH) fingerprints; only then pairs are listed, and only between components.
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm._common import dropped, written
+from docloom.llm._common import written
 from docloom.llm._graph import components
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Cuts of the 64 bits: into 32, 16, 8 and 4.
 DEPTH = 4
-#: Rounds of the component search between two cuts; whatever they leave apart goes on as unsettled.
-ROUNDS = 2
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -66,48 +65,47 @@ def _near(a: Column, b: Column, bits: int = BITS) -> Column:
 
 
 def _variants(members: DataFrame, depth: int) -> DataFrame:
-    """(key, fp) for members (key, at, fp): ``at`` is where the bits lie that the key leaves open, 64 >> depth of them.
+    """(key, at, side, fp) for members (key, at, fp): ``at`` is where the bits lie that the key leaves open, 64 >> depth of them.
 
-    The open bits are cut in two; each part's bits but one, with the part and the place of that bit, join the key.
-    The other part is what the new key leaves open, besides the wildcards.
+    The open bits are cut in two. Each part, as it is (side null) or without one of its bits (that bit is the side), joins
+    the key; the other part is what the new key leaves open.
     """
     width = 64 >> (depth + 1)
-    mask = (1 << width) - 1
     part = members.select("key", "at", "fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("h"))
-    part = part.select("key", "fp", (F.col("at") + F.col("h") * width).alias("own"), (F.col("at") + (1 - F.col("h")) * width).alias("at"))
-    wild = part.select("key", "fp", "own", "at", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("w"))
-    bits = F.expr("shiftrightunsigned(fp, own)").bitwiseAND(F.lit(mask).cast("long")).bitwiseAND(F.expr("~shiftleft(1L, w)"))
-    here = bits.bitwiseOR(F.shiftleft((F.col("own") + F.col("w")).cast("long"), 32))
+    part = part.select("key", (F.col("at") + (1 - F.col("h")) * width).alias("at"), "fp", "h", F.expr(f"shiftrightunsigned(fp, at + h * {width})").bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits"))
+    wild = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("w"))
+    one = F.expr("shiftleft(1L, w)")
+    bits = F.when(F.col("w") < width, F.col("bits").bitwiseAND(F.bitwise_not(one))).otherwise(F.col("bits"))
+    side = F.when(F.col("w") < width, (F.col("bits").bitwiseAND(one) != 0).cast("int"))
+    tag = F.col("h") * (width + 1) + F.col("w")
     # the first key is exact; narrower ones are hashes, where a collision can only bring more to be verified
-    return wild.select((here if depth == 0 else F.xxhash64("key", here)).alias("key"), "at", "fp")
+    key = F.shiftleft(tag.cast("long"), 32).bitwiseOR(bits) if depth == 0 else F.xxhash64("key", tag, bits)
+    return wild.select(key.alias("key"), "at", side.alias("side"), "fp")
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): pairs of distinct fingerprints ``fp``, all at most three bits apart, that join the same components as all such pairs.
 
-    At most one link a key and fingerprint, so the links are linear in the fingerprints however they crowd.
+    At most two links a key and fingerprint, so the links are linear in the fingerprints however they crowd.
     """
     spark = nodes.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     members = nodes.repartition(tasks, "fp").select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "fp")
-    found, of_key = None, Window.partitionBy("key", "at")
+    found, of_key, zero = None, Window.partitionBy("key", "at"), F.coalesce("side", F.lit(0)) == 0
     for depth in range(DEPTH):
-        ranked = _variants(members, depth).withColumn("a", F.first("fp").over(of_key.orderBy("fp")))
-        shared = written(ranked.where("fp <> a").withColumnRenamed("fp", "b"))
-        new = shared.where(_near(F.col("a"), F.col("b"))).select("a", "b").distinct()
+        ranked = _variants(members, depth).select(
+            "key", "at", "side", "fp", F.lag("fp").over(of_key.orderBy("fp")).alias("before"),
+            F.min(F.when(zero, F.col("fp"))).over(of_key).alias("least0"), F.min(F.when(~zero, F.col("fp"))).over(of_key).alias("least1"), F.count(F.lit(1)).over(of_key).alias("n"),
+        ).where("n > 1 AND (side IS NULL OR least0 IS NOT NULL AND least1 IS NOT NULL)")
+        shared = written(ranked.select("key", "at", "side", "fp", "before", F.when(F.col("side") == 0, F.col("least1")).otherwise(F.col("least0")).alias("least")))
+        new = shared.select("fp", F.explode(F.array("least", "before")).alias("a")).where(F.col("a").isNotNull() & (F.col("a") != F.col("fp")) & _near(F.col("a"), F.col("fp")))
+        new = new.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
         found = written(new if found is None else found.unionByName(new).distinct())
-        # a key with another two besides its least has a pair that was not verified
-        more = shared.groupBy("key", "at").agg(F.min("a").alias("a"), F.min("b").alias("lo"), F.max("b").alias("hi"), F.max((~_near(F.col("a"), F.col("b"))).cast("int")).alias("far"))
-        more = more.where("lo <> hi AND far = 1").select("key", "at", "a")
-        open_keys = written(more)
-        if open_keys.isEmpty():
-            return found
-        of = components(found, "a", "b", ROUNDS).select(F.col("node").alias("_fp"), "component")
-        rest = shared.select("key", "at", F.col("b").alias("fp")).join(open_keys.select("key", "at").hint("merge"), ["key", "at"])
-        rest = rest.unionByName(open_keys.select("key", "at", F.col("a").alias("fp"))).join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left")
-        rest = written(rest.select("key", "at", "fp", F.coalesce("component", "fp").alias("c")))
-        several = rest.groupBy("key", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "at")
-        members = written(rest.join(several.hint("merge"), ["key", "at"]))
+        of = components(found, "a", "b").select(F.col("node").alias("_fp"), "component")
+        named = written(shared.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("key", "at", "side", "fp", F.coalesce("component", "fp").alias("c")))
+        sides = named.groupBy("key", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.when(zero, 1)).alias("n0"), F.count(F.when(~zero, 1)).alias("n1"))
+        unsettled = sides.where("lo <> hi AND (n1 = 0 AND n0 > 2 OR n0 > 1 AND n1 > 1)").select("key", "at")
+        members = written(named.join(unsettled.hint("merge"), ["key", "at"]).select("key", "at", "fp", "c"))
         if members.isEmpty():
             return found
     sides = members.select("key", "at", F.col("fp").alias("a"), F.col("c").alias("ca")).join(members.select("key", "at", F.col("fp").alias("b"), F.col("c").alias("cb")).hint("merge"), ["key", "at"])
