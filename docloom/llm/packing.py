@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -23,72 +24,60 @@ from pyspark.sql import functions as F
 from docloom.llm._common import docs_of, gapless, written
 
 WINDOW = 2048
-#: Words whose ids a worker remembers, twice at most.
-CACHE_WORDS = 400_000
-#: Letters and ASCII marks behind them: two parts that the tokenizer never joins. No combining marks, which do join.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: Pieces of one length that a task ranks at once, about.
+BUCKET_ROWS = 100_000
+#: Words whose ids a worker remembers; with more it begins anew.
+CACHE_WORDS = 800_000
+#: Texts of these characters alone are cut into words here: none of them is changed by the tokenizer but to lower case.
+_PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's own pattern, for lower-case texts of those characters.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+")
 
 
 class WordEncoder:
-    """Ids of whole texts, as little-endian 32-bit integers, for a tokenizer that never joins across white space.
+    """Ids of whole texts, as little-endian 32-bit integers, for the tokenizer of a file with word ends (as word_bpe_49k.json).
 
-    A text's ids are those of its white-space separated words in order, so words are
-    looked up in a cache and only new ones are encoded, many at a time.
+    Its words never join, and the last id of a word, and only that, is one with a word end. So the words of texts in plain
+    characters are looked up in a cache; new ones are encoded together, by the same model without the steps that have
+    been taken, and their ids are cut behind word ends. All other texts, and those that hold a special token, go through
+    the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
-
-    def _encode(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            word = np.searchsorted(starts, np.array([o[0] for o in e.offsets], dtype=np.int64), side="right") - 1
-            cuts = np.searchsorted(word, np.arange(len(part) + 1))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, need: list[str]) -> None:
+        for at in range(0, len(need), 16384):
+            part = need[at : at + 16384]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
-            for k, w in enumerate(part):
-                self.new[w] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
-
-    def _learn(self, missing: set[str]) -> None:
-        old, new = self.old, self.new
-        parts: dict[str, tuple[str, str]] = {}
-        for w in missing:
-            if w in old:
-                new[w] = old[w]
-            elif (m := _PLAIN.fullmatch(w)) and (m[2] or not w.islower()):
-                parts[w] = (m[1].lower(), m[2])
-        need = {p for two in parts.values() for p in two if p and p not in new} | {w for w in missing if w not in new and w not in parts}
-        for p in list(need):
-            if p in old:
-                new[p] = old[p]
-                need.discard(p)
-        self._encode(sorted(need))
-        for w, (a, b) in parts.items():
-            new[w] = new[a] + (new[b] if b else b"")
+            if len(cuts) != len(part) + 1:
+                raise ValueError("a tokenizer whose words have no ends")
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        words = [self.words(t) for t in texts]
-        while True:
-            new = self.new
-            try:
-                return [b"".join(map(new.__getitem__, w)) for w in words]
-            except KeyError:
-                self._learn({x for w in words for x in w if x not in new})
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        plain = [_WORDS.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
+        self._learn([*set().union(*filter(None, plain)).difference(known)])
+        ids = lambda w: b"".join(itemgetter(*w)(known)) if len(w) > 1 else known[w[0]] if w else b""
+        return [self._whole(t) if words is None else ids(words) for t, words in zip(texts, plain, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -202,7 +191,9 @@ def pack(pieces: DataFrame, capacity: int = WINDOW) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(placements(histogram, capacity), "p_length long, p_from long, p_to long, p_copies long, p_first long, p_offset long")
-    ranked = gapless(pieces, "length", ["doc_id", "start", "ids_crc32"], "_rank", 256)
+    # enough buckets that each holds a bounded number of pieces of the most frequent length
+    buckets = max(64, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
+    ranked = gapless(pieces, "length", ["doc_id", "start", "ids_crc32"], "_rank", buckets)
     rank = F.col("_rank") - F.col("p_from")
     return (
         ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("p_from")) & (F.col("_rank") < F.col("p_to")))

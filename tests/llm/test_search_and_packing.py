@@ -65,7 +65,6 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(PATH))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
