@@ -44,6 +44,19 @@ def _digest(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
 
 
+def _halves() -> list[Column]:
+    """Hashes of the first and the second half of the line, cut for its length ``n`` and for one less; null for a short line.
+
+    The same comparison as :func:`_frames` in two parts, where what is left is the other half. Written out,
+    as functions of each line are compiled, and lambdas over an array are not.
+    """
+    cuts = ["left(line, n div 2)", "right(line, n - n div 2)", "left(line, (n - 1) div 2)", "right(line, n - 1 - (n - 1) div 2)"]
+    cuts = [c.replace("n div 2", "cast(n div 2 AS int)").replace("(n - 1) div 2", "cast((n - 1) div 2 AS int)") for c in cuts]
+    sides = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    # a half is the same for both lines if one cut is by the length of the shorter: so the length that is cut for counts
+    return [F.when(F.col("n") >= NEAR, F.xxhash64(F.col("n") - less, F.lit(side), F.expr(c))).alias(f"half{k}") for k, ((less, side), c) in enumerate(zip(sides, cuts, strict=True))]
+
+
 def _frames(parts: int) -> Column:
     """The line less each of its parts, cut for both lengths that the shorter of two lines one edit apart can have.
 
@@ -73,12 +86,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _rows(docs, id_col, text_col)
     lines = _lines(rows)
     place = F.struct("ord", "th", "pos")
-    # the keys go with the digest, as the texts of the lines don't
-    distinct = written(
-        lines.select(*_digest("line"), F.when(F.length("line") >= NEAR, F.transform(_frames(2), lambda x: x["key"])).alias("halves"), place.alias("at"))
-        .groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
-    )
-    asked = _sharing(distinct.select("h1", F.explode("halves").alias("key")))
+    # all that later steps need of most lines: texts are cut into lines once more only for lines that share a half
+    known = written(lines.withColumn("n", F.length("line")).select("ord", "th", "pos", *_digest("line"), *_halves()))
+    halves = [c for c in known.columns if c.startswith("half")]
+    distinct = written(known.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in halves)))
+    asked = _sharing(distinct.select("h1", F.explode(F.array(*halves)).alias("key")).where("key IS NOT NULL"))
     texts = lines.where(F.length("line") >= NEAR).select(F.xxhash64("line").alias("h1"), "line", place.alias("at")).join(asked, "h1")
     texts = written(texts.groupBy("h1", "line").agg(F.min("at").alias("at")))
     # only characters in a part whose rest another line shares are deleted
@@ -102,7 +114,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = sides.where(F.levenshtein("line", "kept") == 1).select(*_digest("line")).distinct()
 
     marked = distinct.join(near.withColumn("gone", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR gone").select("h1", "h2", "first", "gone")
-    hits = lines.select(*_digest("line"), place.alias("at")).join(marked, ["h1", "h2"]).where(F.coalesce("gone", F.lit(False)) | (F.col("at") != F.col("first")))
+    hits = known.select("h1", "h2", place.alias("at")).join(marked, ["h1", "h2"]).where(F.coalesce("gone", F.lit(False)) | (F.col("at") != F.col("first")))
     return hits.select("at.ord", "at.th", "at.pos").groupBy("ord", "th").agg(F.collect_set("pos").alias("gone"))
 
 
