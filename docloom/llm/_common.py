@@ -77,18 +77,17 @@ def fold_of(doc_id) -> int:
 
 
 def bounded_ids(df: DataFrame, key: str, strata: list[str], limit: int) -> DataFrame:
-    """At most ``limit`` keys for each combination of ``strata``, spread by hash: the smallest hash of each of ``limit`` buckets.
+    """The distinct keys of each combination of ``strata`` if there are at most ``limit``, else the ``limit`` of the smallest hashes.
 
-    One aggregation that is combined before the shuffle and whose result has at
-    most ``limit`` rows a stratum, however many rows a stratum has.
+    Keys are dealt to 16 pieces a stratum by hash. A limit on the rank is applied before each shuffle and sort,
+    so no task gets more than ``limit`` keys from another.
     """
     h = F.xxhash64(F.col(key), F.lit(7))
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(*strata, F.pmod(h, F.lit(limit)).alias("_bucket"))
-        .agg(F.min_by(F.col(key), F.struct(F.xxhash64(F.col(key), F.lit(11)), F.col(key))).alias(key))
-        .drop("_bucket")
-    )
+    keys = df.where(F.col(key).isNotNull()).select(*strata, key).distinct().withColumn("_h", h)
+    first = Window.partitionBy(*strata, F.pmod("_h", F.lit(16))).orderBy("_h", key)
+    best = Window.partitionBy(*strata).orderBy("_h", key)
+    keys = keys.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit)
+    return keys.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).drop("_r", "_h")
 
 
 def docs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

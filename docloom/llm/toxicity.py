@@ -1,11 +1,15 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine, through a block-max inverted index.
 
-Terms are words and word beginnings. Those that are several times as frequent in the toxic examples
-of the sample make the vocabulary. The labelled vectors lie in an inverted index
-cut into blocks of neighbouring examples with the largest weight of each term in each
-block; a query visits blocks by falling upper bound and stops when no block left can hold one
-of its nearest, so the result is exact. Votes count by distance, and are calibrated by the
-votes that the labelled examples get from each other.
+Terms are all words of the labelled sample and the beginnings of its words, which stand for inflected
+forms; none is left out. A term weighs (1 + ln tf) * idf * rf, where rf is the relevance frequency of supervised
+term weighting (Lan et al., 2009): log2(2 + a / max(1, c)) for a toxic and c other examples that hold it.
+
+The labelled vectors lie in an inverted index cut into blocks of similar examples, with the largest weight of each
+term in each block. A query adds up the postings of its rare terms; its common terms, which many examples hold,
+are bounded by the block maxima at first. It visits blocks by falling bound, adds the common terms there, and stops when
+no block left can hold one of its nearest, so the result is exact. Queries go through together, those that visit
+the same block in one product. Votes count by distance, and are
+calibrated by the votes that the labelled examples get from each other.
 """
 
 from __future__ import annotations
@@ -19,18 +23,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_ids, id_fold, written
+from docloom.llm._common import bounded_ids, id_fold
 
-#: Labelled documents of each label at most, terms, neighbours that vote, examples a block.
-LABELLED, VOCABULARY, NEIGHBOURS, BLOCK = 4096, 512, 15, 32
-#: A term's least chi-square against the label, the documents of the sample it must be in, and how many times as
-#: frequent it must be in toxic examples. Other terms say little, and most texts would have some of them.
-MIN_CHI2, MIN_DOCS, MIN_LIFT = 25.0, 5, 4.0
+#: Labelled documents of each label at most, neighbours that vote, examples a block, words whose terms a worker remembers.
+LABELLED, NEIGHBOURS, BLOCK, CACHE_WORDS = 512, 15, 32, 400_000
+#: Documents and characters that are scored together.
+TOGETHER, CHARACTERS = 128, 2_000_000
+#: Examples and terms that are given as evidence.
+EVIDENCE = 5
+#: A term that more than one in so many examples holds is common.
+COMMON = 32
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms, written with a star.
-_STEMS = (3, 4, 5, 6)
-#: Terms for how many words of a text hold a term of the vocabulary: so many or more.
-_HITS = ((1, "#1"), (2, "#2"), (3, "#3"), (6, "#6"))
+_STEMS = (4, 5, 6, 7)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -41,73 +46,159 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in _STEMS if len(word) > n)]
 
 
+def known_terms(word: str, vocabulary: dict[str, int]) -> list[int]:
+    """The word's terms that are in the vocabulary. Longer beginnings, and the word, are there only if the shorter ones are."""
+    out = []
+    n = len(word)
+    for k in _STEMS:
+        if n <= k:
+            break
+        t = vocabulary.get(word[:k] + "*")
+        if t is None:
+            return out
+        out.append(t)
+    t = vocabulary.get(word)
+    if t is not None:
+        out.append(t)
+    return out
+
+
+def together(texts: pd.Series) -> Iterator[slice]:
+    """Runs of texts of at most TOGETHER texts, and CHARACTERS characters or one text."""
+    at = size = 0
+    for k, text in enumerate(texts):
+        n = len(text) if isinstance(text, str) else 0
+        if k > at and (k - at >= TOGETHER or size + n > CHARACTERS):
+            yield slice(at, k)
+            at, size = k, 0
+        size += n
+    if len(texts):
+        yield slice(at, len(texts))
+
+
+def term_counts(text: str | None) -> dict[str, int]:
+    tf: dict[str, int] = {}
+    for w in words_of(text):
+        for t in terms_of(w):
+            tf[t] = tf.get(t, 0) + 1
+    return tf
+
+
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors over a vocabulary, in blocks of neighbouring rows; ``labels`` and ``weights`` by row."""
+    """Unit vectors ``rows`` (terms, weights) over a vocabulary, in blocks of neighbouring rows; ``labels`` and ``weights`` by row."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    rows: list[tuple[list[int], list[float]]]
+    idf: np.ndarray  # of each term, times its relevance frequency
+    rows: list[tuple[np.ndarray, np.ndarray]]
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     prior: float
     knots: tuple[np.ndarray, np.ndarray] | None = None
-    postings: dict[int, list[tuple[np.ndarray, np.ndarray] | None]] = field(default_factory=dict)
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    starts: frozenset[str] = frozenset()
+    known: dict[str, list[int]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        blocks = -(-len(self.rows) // BLOCK)
-        self.maxima = np.zeros((len(self.vocabulary), blocks))
-        found: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for r, (ts, ws) in enumerate(self.rows):
-            for t, w in zip(ts, ws, strict=True):
-                at = found.setdefault((t, r // BLOCK), ([], []))
-                at[0].append(r % BLOCK)
-                at[1].append(w)
-                self.maxima[t, r // BLOCK] = max(self.maxima[t, r // BLOCK], w)
-        self.postings = {t: [None] * blocks for t in range(len(self.vocabulary))}
-        for (t, b), (rs, ws) in found.items():
-            self.postings[t][b] = (np.array(rs), np.array(ws))
-        self.starts = frozenset(t[:3] for t in self.vocabulary)
-
-    def vector(self, words: list[str]) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        """Terms and weights, (1 + ln tf) * idf, of length 1; both empty without a known term."""
-        starts, vocabulary = self.starts, self.vocabulary
-        tf: dict[int, int] = {}
-        hits = 0
+        n, size = len(self.rows), len(self.vocabulary)
+        terms = np.concatenate([t for t, _ in self.rows]) if n else np.zeros(0, np.int64)
+        value = np.concatenate([w for _, w in self.rows]) if n else np.zeros(0)
+        row = np.repeat(np.arange(n), [len(t) for t, _ in self.rows]) if n else np.zeros(0, np.int64)
+        df = np.bincount(terms, minlength=size)
+        self.place = np.where(df * COMMON > n, np.cumsum(df * COMMON > n) - 1, -1)  # of a common term among those
+        often = self.place[terms] >= 0 if n else np.zeros(0, bool)
+        blocks = -(-n // BLOCK)
+        dense = np.zeros((int((self.place >= 0).sum()), blocks * BLOCK))
+        dense[self.place[terms[often]], row[often]] = value[often]
+        self.blocks = np.ascontiguousarray(dense.reshape(len(dense), blocks, BLOCK).transpose(1, 0, 2))  # block, common term, row
+        self.maxima = self.blocks.max(axis=2).T.copy()  # common term, block
+        order = np.argsort(terms[~often], kind="stable")
+        self.posting_rows, self.posting_values = row[~often][order], value[~often][order]
+        self.posting_starts = np.searchsorted(terms[~often][order], np.arange(size + 1))
+
+    def vectors(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text's words the known terms, ascending, and their weights, of length 1; both empty without a known term."""
+        vocabulary, known = self.vocabulary, self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        words = [*set().union(*texts)]
+        place = dict(zip(words, range(len(words)), strict=True))
+        flat: list[int] = []
+        starts = [0]
         for w in words:
-            if w[:3] in starts:
-                found = [vocabulary[t] for t in terms_of(w) if t in vocabulary]
-                hits += bool(found)
-                for t in found:
-                    tf[t] = tf.get(t, 0) + 1
-        if not tf:
-            return (), ()
-        tf |= {vocabulary[name]: 1 for least, name in _HITS if hits >= least and name in vocabulary}
-        ts = sorted(tf)
-        v = np.array([(1 + np.log(tf[t])) * self.idf[t] for t in ts])
-        return tuple(ts), tuple((v / np.linalg.norm(v)).tolist())
-
-    def nearest(self, ts: tuple[int, ...], ws: tuple[float, ...], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
-        """The k rows of the greatest positive cosine, ties to the smaller row; ``skip`` is left out."""
-        if not ts or not self.rows:
-            return []
-        bounds = np.asarray(ws) @ self.maxima[list(ts)]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-12):
+            found = known.get(w)
+            if found is None:
+                found = known[w] = known_terms(w, vocabulary)
+            flat += found
+            starts.append(len(flat))
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        if not flat:
+            return [none] * len(texts)
+        ids = [np.fromiter(map(place.__getitem__, t), np.int64, len(t)) for t in texts]
+        terms, first, wide = np.array(flat), np.array(starts), len(self.vocabulary)
+        pair, times = np.unique(np.concatenate([i + k * len(place) for k, i in enumerate(ids)]), return_counts=True)
+        doc, word = np.divmod(pair, len(place))
+        length = first[word + 1] - first[word]
+        at = np.repeat(first[word] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+        key, inverse = np.unique(np.repeat(doc, length) * wide + terms[at], return_inverse=True)
+        tf = np.bincount(inverse, weights=np.repeat(times, length))
+        owner, ts = np.divmod(key, wide)
+        v = (1 + np.log(tf)) * self.idf[ts]
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        parts = [(ts[a:b], v[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [(t, w / max(float(np.linalg.norm(w)), 1e-300)) if len(t) else none for t, w in parts]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k rows of the greatest positive cosine, ties to the smaller row; ``skip`` has a row for each
+        that is left out. Cosines are rounded to 12 places."""
+        n, m, blocks = len(self.rows), len(queries), len(self.blocks)
+        if not n or not m:
+            return [[] for _ in queries]
+        size = blocks * BLOCK
+        of = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        ts, ws = (np.concatenate(x) for x in zip(*queries, strict=True))
+        place = self.place[ts]
+        common, rare = place >= 0, place < 0
+        q = np.zeros((m, self.blocks.shape[1]))
+        q[of[common], place[common]] = ws[common]
+        first = self.posting_starts[ts[rare]]
+        length = self.posting_starts[ts[rare] + 1] - first
+        at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+        to = np.repeat(of[rare] * size, length) + self.posting_rows[at]
+        base = np.bincount(to, weights=self.posting_values[at] * np.repeat(ws[rare], length), minlength=m * size).reshape(m, size)
+        base[:, n:] = -2.0
+        if skip is not None:
+            base[np.arange(m), skip] = -2.0
+        base = base.reshape(m, blocks, BLOCK)
+        bounds = base.max(axis=2) + q @ self.maxima
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        total = np.full((m, blocks, BLOCK), -2.0)
+        edge, done, step = np.zeros(m), 0, 2
+        while done < blocks:
+            part = order[:, done : done + step]
+            bound = np.take_along_axis(bounds, part, 1)
+            asks, which = np.nonzero((bound >= edge[:, None] - 1e-9) & (bound > 0))
+            if not len(asks):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(ts, ws, strict=True):
-                if (p := self.postings[t][b]) is not None:
-                    scores[p[0]] += w * p[1]
-            hit = np.flatnonzero(scores)
-            if len(best) == k:
-                hit = hit[scores[hit] >= best[-1][0] - 1e-12]
-            best = sorted([*best, *((round(float(scores[r]), 12), b * BLOCK + int(r)) for r in hit if b * BLOCK + r != skip)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            visited = part[asks, which]
+            by = np.argsort(visited, kind="stable")
+            for b, js in zip(np.unique(visited).tolist(), np.split(asks[by], np.flatnonzero(np.diff(visited[by])) + 1), strict=True):
+                total[js, b] = base[js, b] + q[js] @ self.blocks[b]
+            if size > k:
+                edge = np.maximum(np.partition(total.reshape(m, size), size - k, axis=1)[:, size - k], 0.0)
+            done, step = done + step, step * 2
+        out = []
+        for scores, least in zip(total.reshape(m, size), edge.tolist(), strict=True):
+            rows = np.flatnonzero(scores >= least - 1e-9)
+            found = np.round(scores[rows], 12)
+            best = np.lexsort((rows, -found))[:k]
+            out.append([(float(found[i]), int(rows[i])) for i in best if found[i] > 0])
+        return out
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[float]:
+        found = []
+        for a in range(0, len(queries), TOGETHER):
+            found += self.nearest(queries[a : a + TOGETHER], skip=None if skip is None else skip[a : a + TOGETHER])
+        return [self.vote(x) for x in found]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         up = down = 0.0
@@ -122,6 +213,9 @@ class BlockMaxIndex:
             return self.prior
         return float(np.interp(vote, *self.knots))
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "known")} | {"rows": range(len(self.rows)), "known": {}}
+
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y by x (pool adjacent violators)."""
@@ -136,7 +230,7 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> BlockMaxIndex:
-    """From at most LABELLED documents of each label, weighted to the labels' true shares.
+    """From at most LABELLED documents of each label, weighted to the labels' true shares; their distinct terms go to the driver.
 
     A document with contradicting label rows counts with the larger label; null labels and labels
     of missing documents are passed over. Without labelled documents the index is empty and the prior 0.
@@ -145,62 +239,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = bounded_ids(rows, "doc_id", ["label"], LABELLED)
-    sample = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text"))
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                out: list[tuple[str, int]] = []
-                for text, label in zip(pdf["text"].iloc[at : at + 200], pdf["label"].iloc[at : at + 200], strict=True):
-                    out += [(t, int(label)) for t in {t for w in set(words_of(text)) for t in terms_of(w)}]
-                yield pd.DataFrame(out, columns=["term", "label"])
-
-    a, n1, n = F.col("hits").cast("double"), float(sizes.get(1, 0)), float(total)
-    b = F.col("docs") - a
-    c, d = n1 - a, (n - n1) - b
-    chi2 = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    chosen = (
-        sample.select("text", "label").mapInPandas(pairs, "term string, label int").groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("label").alias("hits"))
-        .where((F.col("docs") >= MIN_DOCS) & (F.col("docs") < n) & (a * (n - n1) >= MIN_LIFT * b * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
-    ) if n1 and n1 < n else []
-    df = {r["term"]: r["docs"] for r in chosen}
-    if df:
-        df |= {name: n / (1 + least) for least, name in _HITS}
-    vocabulary = {t: k for k, t in enumerate(sorted(df))}
-    idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary])
-    probe = BlockMaxIndex(vocabulary, idf, [], np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.0)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [probe.vector(words_of(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "t": [list(x[0]) for x in found], "w": [list(x[1]) for x in found]})
-
-    got = sample.mapInPandas(vectors, "doc_id long, label int, t array<int>, w array<double>").collect()
-    weight = {k: counts[k] / sizes[k] for k in sizes}
-    bare = [r for r in got if not r["t"]]
-    known = sorted((r for r in got if r["t"]), key=lambda r: (r["t"][int(np.argmax(r["w"]))], r["t"], r["w"], r["doc_id"]))
+            for i, label, text in zip(pdf["doc_id"], pdf["label"], pdf["text"], strict=True):
+                tf = term_counts(text)
+                yield pd.DataFrame({"doc_id": [i], "label": [label], "terms": [list(tf)], "tf": [list(tf.values())]})
+
+    got = sample.mapInPandas(counted, "doc_id long, label int, terms array<string>, tf array<int>").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["terms"]))
+    sizes = {k: sum(r["label"] == k for r in got) for k in (0, 1)}
+    weight = {k: counts.get(k, 0) / max(1, sizes[k]) for k in sizes}
+    vocabulary = {t: k for k, t in enumerate(sorted({t for r in got for t in r["terms"]}))}
+    at = [np.array([vocabulary[t] for t in r["terms"]], np.int64) for r in got]
+    held = {k: np.bincount(np.concatenate([np.zeros(0, np.int64), *(a for a, r in zip(at, got, strict=True) if r["label"] == k)]), minlength=len(vocabulary)) for k in sizes}
+    idf = np.log((1 + len(got)) / (1 + held[0] + held[1])) + 1
+    scale = idf * np.log2(2 + held[1] / np.maximum(1, held[0]))
+    rows = []
+    for r, ts in zip(got, at, strict=True):
+        v = (1 + np.log(np.array(r["tf"], np.float64))) * scale[ts]
+        o = np.argsort(ts)
+        rows.append((ts[o], (v / max(float(np.linalg.norm(v)), 1e-300))[o]))
+    bare = [r for r in got if not r["terms"]]
     bare_all = sum(weight[r["label"]] for r in bare)
-    prior = sum(weight[r["label"]] * r["label"] for r in bare) / bare_all if bare_all else (counts.get(1, 0) / max(1, sum(counts.values())))
+    prior = sum(weight[r["label"]] * r["label"] for r in bare) / bare_all if bare_all else counts.get(1, 0) / max(1, sum(counts.values()))
+    # neighbours in the index share their weightiest term among those of several examples
+    several = held[0] + held[1] > 1
+    top = [int(ts[np.argmax(ws * several[ts])]) if len(ts) else -1 for ts, ws in rows]
+    order = sorted((k for k, r in enumerate(got) if r["terms"]), key=lambda k: (got[k]["label"], top[k], got[k]["doc_id"]))
     index = BlockMaxIndex(
-        vocabulary, idf, [(list(r["t"]), list(r["w"])) for r in known], np.array([r["doc_id"] for r in known], np.int64),
-        np.array([r["label"] for r in known], np.float64), np.array([weight[r["label"]] for r in known]), float(prior),
+        vocabulary, scale, [rows[k] for k in order], np.array([got[k]["doc_id"] for k in order], np.int64),
+        np.array([got[k]["label"] for k in order], np.float64), np.array([weight[got[k]["label"]] for k in order]), float(prior),
     )
-    if known:
-        votes = np.array([index.vote(index.nearest(tuple(t), tuple(w), skip=k)) for k, (t, w) in enumerate(index.rows)])
-        votes = np.where(votes < 0, 0.5, votes)
-        index.knots = monotone(votes, index.labels, index.weights)
+    if order:
+        votes = np.array(index.votes(index.rows, [*range(len(order))]))
+        index.knots = monotone(np.where(votes < 0, 0.5, votes), index.labels, index.weights)
     return index
 
 
 def predict(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, evidence_ids, evidence_terms for each row, from the whole text alone.
 
-    The evidence is the nearest labelled toxic examples and the known terms of the text. Null and
+    The evidence is the nearest labelled toxic examples and the known terms of the text that weigh most. Null and
     empty texts, and texts without a known term, get the share of toxic ones among such
-    examples. Repeated rows and null ids are rows as any other; neighbours that tie at the
+    examples, or of all if there are none such. Repeated rows and null ids are rows as any other; neighbours that tie at the
     edge of the vote are taken by the index's order; other columns are ignored; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -208,17 +291,14 @@ def predict(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = sent.value
         names = list(x.vocabulary)
-        known: dict[tuple, tuple[float, list[int]]] = {}
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                v = x.vector(words_of(text))
-                if v not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    near = x.nearest(*v)
-                    known[v] = x.calibrated(x.vote(near)), [int(x.ids[r]) for _, r in near if x.labels[r] == 1][:5]
-                out.append((i, *known[v], [names[t] for t in v[0]]))
+            for part in together(pdf["text"]):
+                texts = [words_of(t) for t in pdf["text"].iloc[part]]
+                vectors = x.vectors(texts)
+                for i, (ts, ws), near in zip(pdf["doc_id"].iloc[part], vectors, x.nearest(vectors), strict=True):
+                    most = ts[np.argsort(-ws, kind="stable")[:EVIDENCE]].tolist()
+                    out.append((i, x.calibrated(x.vote(near)), [int(x.ids[r]) for _, r in near if x.labels[r] == 1][:EVIDENCE], [names[t] for t in most]))
             out = pd.DataFrame(out, columns=["doc_id", "score", "evidence_ids", "evidence_terms"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
