@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from docloom.llm._common import bounded_ids, id_fold
 
 UNKNOWN = "und"
-#: Training documents a language at most, and bytes taken from each.
-SAMPLE_DOCS, SAMPLE_BYTES = 128, 1500
+#: Languages at most (those with the most rows), and training documents of each at most, which count whole.
+LANGUAGES, SAMPLE_DOCS = 200, 128
 #: Bytes compressed at a time, so that the dictionary counts for all of a long text.
 BLOCK = 4096
 LEVEL = 3
@@ -66,14 +66,13 @@ def verdict(sizes: list[int]) -> tuple[int, float, float]:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Dictionaries from at most SAMPLE_DOCS documents a language, SAMPLE_BYTES from a place in each that its id decides."""
+    """Dictionaries from the whole texts of at most SAMPLE_DOCS documents a language, by ascending id (of texts of one id the least)."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = bounded_ids(rows.select("doc_id", "lang"), "doc_id", ["lang"], SAMPLE_DOCS)
-    spare = F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0))
-    piece = F.substr(F.col("text"), (F.pmod(F.xxhash64("doc_id"), spare + 1) + 1).cast("int"), F.lit(SAMPLE_BYTES))
-    seen: dict[str, int] = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", piece.alias("piece")).groupBy("doc_id", "lang").agg(F.min("piece").alias("piece")).collect()
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    seen: dict[str, int] = {r["lang"]: r["n"] for r in most}
+    ids = bounded_ids(rows.select("doc_id", "lang").where(F.col("lang").isin([*seen])), "doc_id", ["lang"], SAMPLE_DOCS)
+    got = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("piece")).collect()
     text: dict[str, list[bytes]] = {lang: [] for lang in seen}
     for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"])):
         text[r["lang"]].append(normalised(r["piece"]))

@@ -186,3 +186,25 @@ def test_toxicity_scores_by_hand(spark):
 def test_monotone_fit():
     x, y = toxicity.monotone(np.array([0.1, 0.2, 0.2, 0.9]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
     assert list(np.interp([0.1, 0.2, 0.9], x, y)) == [0.0, 0.5, 1.0]
+
+
+def test_language_by_hand(spark):
+    rows = corpus(seed=9, n=60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    import zstandard as Z
+
+    model = langid.fit(docs)
+    want_order = [l for l, _ in sorted(collections.Counter(r[2] for r in rows if r[1] is not None and r[2] is not None).items(), key=lambda x: (-x[1], x[0]))]
+    assert [l for l, _ in model.dictionaries] == want_order
+    raw = {l: b" ".join(langid.normalised(t) for i, t, x in sorted(rows) if x == l) for l in want_order}  # fewer rows than the bound: all, whole
+    assert dict(model.dictionaries) == raw
+    for r in langid.predict(docs, model).collect():
+        data = langid.normalised(next(t for i, t, _ in rows if i == r["doc_id"]))
+        sizes = []
+        for l in want_order:
+            c = Z.ZstdCompressor(level=langid.LEVEL, dict_data=Z.ZstdCompressionDict(raw[l], dict_type=Z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[a : a + langid.BLOCK])) for a in range(0, len(data), langid.BLOCK)))
+        best = min(range(len(sizes)), key=lambda k: sizes[k])
+        rest = sorted(sizes)[1]
+        assert r["lang_pred"] == want_order[best] and r["margin"] == pytest.approx((rest - sizes[best]) / sizes[best])
+        assert r["score"] == pytest.approx(1 / sum(2.0 ** -(s - sizes[best]) for s in sizes)) and r["rejected"] == (r["margin"] < 0.01)
