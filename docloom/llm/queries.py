@@ -69,12 +69,7 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def _marks_in_duckdb(text: str) -> str:
-    for pattern, to in decontam.MARKS:
-        to = to.replace("$", "\\")
-        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
-    return text
-
+_UNITS = "|".join(sorted(decontam.UNITS, key=lambda u: (-len(u), u)))
 
 #: DuckDB's SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -95,34 +90,58 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
-    "op3_decontamination": f"""
+    "op3_decontamination": rf"""
         WITH raw AS (
             SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
-        ), words AS (
-            SELECT side, id, list_filter(string_split_regex(lower({_marks_in_duckdb("text")}), '{decontam.SPLIT}'), lambda x: x <> '') AS w
+        ), figured AS (
+            SELECT side, id, regexp_replace(regexp_replace(regexp_replace(text, '([0-9])[.,:/]([0-9])', '\1\2', 'g'), '([0-9])[.,:/]([0-9])', '\1\2', 'g'),
+                '([0-9])[\s-]*((?i:{_UNITS}))($|[^\p{{L}}\p{{N}}])', '\1 ' || chr(2) || '\2\3', 'g') AS s
             FROM raw WHERE text IS NOT NULL
+        ), cut AS (
+            SELECT side, id, regexp_extract_all(s, '[\p{{L}}\p{{N}}' || chr(2) || ']+[^\p{{L}}\p{{N}}' || chr(2) || ']*') AS a FROM figured
+        ), tokens AS (
+            SELECT side, id, i, regexp_replace(a[i], '[^\p{{L}}\p{{N}}' || chr(2) || ']+$', '') AS tok, regexp_matches(a[i], '^\p{{Lu}}\p{{Ll}}') AS capital,
+                i > 1 AND regexp_matches(a[i], '^\p{{Lu}}\p{{Ll}}') AND regexp_matches(a[i - 1], '^\p{{Lu}}\p{{Ll}}\p{{L}}*\s+$') AS goes_on
+            FROM cut, unnest(range(1, len(a) + 1)) u(i)
+        ), numbered AS (
+            SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY side, id ORDER BY i) AS run FROM tokens
+        ), named AS (
+            SELECT side, id, run, (CASE WHEN bool_or(capital) THEN chr(1) ELSE '' END) || string_agg(lower(tok), '_' ORDER BY i) AS w FROM numbered GROUP BY side, id, run
+        ), words AS (
+            SELECT 0 AS kind, side, id, list(lower(tok) ORDER BY i) AS w FROM tokens GROUP BY side, id
+            UNION ALL SELECT 1, side, id, list(w ORDER BY run) FROM named GROUP BY side, id
         ), templates AS (
-            SELECT side, id, w, list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN chr(1) || 'name' WHEN x[1] = chr(2) THEN chr(2) || 'unit'
-                WHEN x[1] BETWEEN '0' AND '9' THEN '0number' ELSE x END) AS t
+            SELECT kind, side, id, w, list_transform(w, lambda x: CASE WHEN x[1] = chr(1) THEN chr(1) || 'name' WHEN x[1] = chr(2) THEN chr(2) || 'unit'
+                WHEN x < ':' THEN '0number' ELSE x END) AS t
             FROM words WHERE len(w) >= 5
         ), windows AS (
-            SELECT side, id, i AS place, array_to_string(list_slice(t, i, i + 4), ' ') AS h, list_filter(list_slice(w, i, i + 4), lambda x: x < ':') AS slots
+            SELECT kind, side, id, i AS place, array_to_string(list_slice(t, i, i + 4), ' ') AS h, array_to_string(list_slice(w, i, i + 4), ' ') AS v,
+                list_filter(list_slice(w, i, i + 4), lambda x: x < ':') AS slots
             FROM templates, unnest(range(1, len(w) - 3)) u(i)
         ), hits AS (
-            SELECT d.id AS doc_id, b.id AS item_id, d.place - b.place AS shift, b.place AS b, b.slots AS bs, d.slots AS ds
-            FROM windows d JOIN windows b ON d.h = b.h WHERE d.side = 0 AND b.side = 1
+            SELECT d.kind, d.id AS doc_id, b.id AS item_id, d.place - b.place AS shift, b.place AS b, b.slots AS bs, d.slots AS ds, len(b.slots) <= 3 AS strong, d.v = b.v AS alike
+            FROM windows d JOIN windows b ON d.kind = b.kind AND d.h = b.h WHERE d.side = 0 AND b.side = 1
+        ), lines AS (
+            SELECT DISTINCT kind, doc_id, item_id, shift FROM hits WHERE strong
+        ), aligned AS (
+            SELECT hits.* FROM hits JOIN lines USING (kind, doc_id, item_id, shift)
         ), pairs AS (
-            SELECT DISTINCT doc_id, item_id, shift, unnest(bs) AS x, unnest(ds) AS y FROM hits WHERE len(bs) > 0
+            SELECT DISTINCT kind, doc_id, item_id, shift, unnest(bs) AS x, unnest(ds) AS y FROM aligned WHERE len(bs) > 0
         ), maps AS (
-            SELECT doc_id, item_id, shift, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS fits, bool_or(x <> y) AS differs
-            FROM pairs GROUP BY doc_id, item_id, shift
+            SELECT kind, doc_id, item_id, shift, count(*) = count(DISTINCT x) AND count(*) = count(DISTINCT y) AS fits, bool_or(x <> y) AS differs
+            FROM pairs GROUP BY kind, doc_id, item_id, shift
+        ), places AS (
+            SELECT kind, doc_id, item_id, b, coalesce(fits AND differs, FALSE) AS differs FROM aligned LEFT JOIN maps USING (kind, doc_id, item_id, shift) WHERE len(bs) = 0 OR fits
+            UNION ALL SELECT kind, doc_id, item_id, b, FALSE FROM hits WHERE kind = 0 AND NOT strong AND alike
         ), found AS (
-            SELECT doc_id, item_id, count(DISTINCT CASE WHEN len(bs) = 0 OR fits THEN b END) AS matched, coalesce(bool_or(differs), FALSE) AS changed
-            FROM hits LEFT JOIN maps USING (doc_id, item_id, shift) GROUP BY doc_id, item_id
+            SELECT kind, doc_id, item_id, count(DISTINCT b) AS matched, bool_or(differs) AS changed FROM places GROUP BY kind, doc_id, item_id
         ), sizes AS (
-            SELECT id AS item_id, count(*) AS windows FROM windows WHERE side = 1 GROUP BY id
+            SELECT kind, id AS item_id, count(*) AS windows FROM windows WHERE side = 1 GROUP BY kind, id
+        ), enough AS (
+            SELECT found.*, windows, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY kind) AS r
+            FROM found JOIN sizes USING (kind, item_id) WHERE matched >= ceil(windows * 0.8)
         )
-        SELECT doc_id, item_id, matched, windows, changed FROM found JOIN sizes USING (item_id) WHERE matched >= ceil(windows * 0.8)
+        SELECT doc_id, item_id, matched, windows, changed FROM enough WHERE r = 1
     """,
     "op7_line_dedup": """
         WITH lines AS (
