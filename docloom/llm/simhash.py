@@ -129,8 +129,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    going = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(going, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+def one_of_each(docs: DataFrame, share: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of near-duplicates by runs of ``shingle`` words, a similarity of ``share`` or more.
+
+    Fingerprints propose pairs as in :func:`near_duplicates`; each pair is verified on the whole sets of runs, and
+    similar pairs with more than three bits between them are found exactly, too: see :mod:`docloom.llm.jaccard`.
+    """
+    from docloom.llm import jaccard
+
+    return jaccard.one_of_each(docs, share, shingle, id_col, text_col)

@@ -7,7 +7,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 from test_native_operators import brute_lines
-from test_near_duplicates import reach, slow_fingerprint
+from test_jaccard import alike, runs
+from test_near_duplicates import reach
 
 from docloom.llm import packing, quality
 from docloom.llm._common import fold_of
@@ -61,9 +62,9 @@ def by_hand(spark, tables):
     model = quality.fit(docs, learned)
     good = [(i, t) for i, t in rows if model.scores(np.stack([quality.terms(t)]))[0] >= 0.5]
     lined = [(i, t) for i, t, _, gone in brute_lines(good) if not gone or t.strip()]
-    fp = {i: slow_fingerprint(t) for i, t in lined}
-    ids = sorted(fp)
-    comp = reach(ids, [(a, b) for a in ids for b in ids if a < b and bin(fp[a] ^ fp[b]).count("1") <= 3])
+    sets = {i: runs(t) for i, t in lined}
+    ids = sorted(sets)
+    comp = reach(ids, [(a, b) for a in ids for b in ids if a < b and alike(sets[a], sets[b])])
     single = [(i, t) for i, t in lined if comp[i] == i]
     return good, lined, single, [(i, t) for i, t in single if not any(b in (t or "") for _, b in bench)]
 
