@@ -350,7 +350,7 @@ _RANKS = """
     ),
     deltas AS (SELECT a.doc_id, a.it, sum(abs(a.score - b.score)) AS delta FROM power a JOIN power b ON a.doc_id = b.doc_id AND a.position = b.position AND a.it = b.it + 1 GROUP BY a.doc_id, a.it),
     stops AS (SELECT doc_id, coalesce(min(it) FILTER (delta < 1e-4), 50) AS iterations, coalesce(bool_or(delta < 1e-4), FALSE) AS converged FROM deltas GROUP BY doc_id),
-    final AS (SELECT p.doc_id, p.position, round(p.score, 5) AS score, converged FROM power p JOIN stops s ON p.doc_id = s.doc_id AND p.it = s.iterations),
+    final AS (SELECT p.doc_id, p.position, round(round(p.score, 12), 5) AS score, converged FROM power p JOIN stops s ON p.doc_id = s.doc_id AND p.it = s.iterations),
     places AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS rn FROM final),
     chosen AS (SELECT * FROM places WHERE converged AND (rn = 1 OR (score >= 0.12 AND rn <= 5)))
 """

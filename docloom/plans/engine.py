@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass
 
@@ -27,6 +28,11 @@ class EngineConfig:
     model: object = None
 
 
+def _root(options: ReportOptions) -> str:
+    """The repository's absolute path: executors have other working folders."""
+    return os.path.abspath(options.repo_path.strip())
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: EngineConfig):
         if not config.dictionary_bytes:
@@ -46,7 +52,7 @@ class Engine:
 
     def _git(self, options: ReportOptions, table: str, now: int | None) -> DataFrame:
         since = max((int(time.time()) if now is None else now) - options.days_since * 86400, 0)
-        return self.spark.read.format("gitlog").option("table", table).option("since", since).load(options.repo_path)
+        return self.spark.read.format("gitlog").option("table", table).option("since", since).load(_root(options))
 
     def added_lines(self, options: ReportOptions, now: int | None = None) -> DataFrame:
         """repo, path, line_number, content of the window's additions."""
@@ -58,13 +64,13 @@ class Engine:
     def contextual_changes(self, options: ReportOptions, now: int | None = None) -> DataFrame:
         """Additions by file and section of the current files; a missing or unreadable file is an error."""
         added = self.added_lines(options, now)
-        tree, missing = changes.working_files(added, files.working_tree(self.spark, options.repo_path, "*").where("valid").select("repo", "path", "text"))
+        tree, missing = changes.working_files(added, files.touched_files(added).where("valid").select("repo", "path", "text"))
         if gone := [r["path"] for r in missing.limit(5).collect()]:
             raise FileNotFoundError(f"changed files can't be read: {gone}")
         return changes.correlate(added, markdown.parsed_sections(tree, ["repo", "path"]))
 
     def _request(self, options: ReportOptions) -> DataFrame:
-        row = (options.repo_path.strip(), options.repo_path, options.days_since, options.custom_prompt)
+        row = (_root(options), options.repo_path, options.days_since, options.custom_prompt)
         return self.spark.createDataFrame([row], "repo string, repo_path string, days_since int, custom_prompt string")
 
     def _run(self, df: DataFrame) -> Row:
@@ -87,7 +93,7 @@ class Engine:
             return Row(repo=options.repo_path.strip(), kind=report.FALLBACK, prompt=None, summary=None, message=told)
         return self._run(report.rag_reports(self._request(options), found, len(self.config.model_bytes), self.config.model))
 
-    # -- documents
+    # -- documents (the messages of InvalidInput are fixed values)
 
     def summarize_with_details(self, text: str) -> tuple[list[str], str]:
         if not text.strip():

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +13,36 @@ from docloom.functions import text as T
 
 
 def working_tree(spark: SparkSession, repo: str, pattern: str = "*.{md,markdown}") -> DataFrame:
-    """repo, path (relative), text, valid: the files of a working tree; ``valid`` is false where a file isn't UTF-8."""
+    """repo, path (relative), text, valid: the files of a working tree; ``valid`` is false where a file isn't UTF-8.
+
+    Files and folders whose names begin with a dot or an underscore are passed over, as by all of Spark's file sources.
+    """
     root = repo.strip().rstrip("/")
+    root = root if "://" in root else os.path.abspath(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(F.lit(root).alias("repo"), F.expr(f"substring_index(path, '{root}/', -1)").alias("path"), text.alias("text"), text.isNotNull().alias("valid"))
+    return files.select(F.lit(root).alias("repo"), F.col("path").substr(F.instr("path", root) + F.lit(len(root) + 1), F.length("path")).alias("path"), text.alias("text"), text.isNotNull().alias("valid"))
+
+
+def touched_files(added: DataFrame) -> DataFrame:
+    """repo, path, text, valid: the current files of the distinct (repo, path) of ``added``, read where the rows are.
+
+    A path is taken as it is, whatever its folders are called; ``repo`` must lie on storage that all executors reach. ``valid``
+    is false, and the text null, where a file is missing, unreadable or no UTF-8.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts: list[str | None] = []
+            for repo, path in zip(pdf["repo"], pdf["path"], strict=True):
+                try:
+                    with open(os.path.join(repo, path), "rb") as f:
+                        texts.append(f.read().decode("utf-8"))
+                except (OSError, UnicodeDecodeError):
+                    texts.append(None)
+            yield pd.DataFrame({"repo": pdf["repo"], "path": pdf["path"], "text": texts, "valid": [t is not None for t in texts]})
+
+    return added.select("repo", "path").distinct().mapInPandas(run, "repo string, path string, text string, valid boolean")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

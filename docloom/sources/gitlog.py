@@ -2,7 +2,7 @@
 
 ``format("gitlog")`` with ``path`` (one repository, on storage that all executors reach) and ``table``:
 
-* ``commits`` (default): oid, parent_oid, commit_ts, walk_ordinal; all commits reachable from HEAD, newest first.
+* ``commits`` (default): oid, parent_oid, commit_ts, walk_ordinal; all commits reachable from HEAD, those found so far newest first (by time alone, whatever is whose parent).
 * ``added_lines``: oid, commit_ts, walk_ordinal, new_path, old_path, is_binary, origin, line_number, content; the
   lines that each commit adds against its first parent (a root commit against the empty tree).
 
@@ -46,7 +46,7 @@ def walk(repo: str, since: int | None = None) -> Iterator[tuple[str, str | None,
     probe = subprocess.run(["git", "-c", "safe.directory=*", "-C", repo.strip(), "rev-parse", "--verify", "-q", "HEAD"], capture_output=True)
     if probe.returncode:
         return
-    for k, line in enumerate(git(repo.strip(), "log", "--date-order", "--format=%H %ct %P", "HEAD").decode().splitlines()):
+    for k, line in enumerate(git(repo.strip(), "log", "--format=%H %ct %P", "HEAD").decode().splitlines()):
         oid, ts, *parents = line.split()
         if since is not None and int(ts) < since:
             return

@@ -110,3 +110,26 @@ def test_rag(engine, repo):
     (repo.path / "docs" / "changelog.md").unlink()
     with pytest.raises(FileNotFoundError):
         engine.run_git_native_rag(options)
+
+
+def test_folders_and_names_that_spark_passes_over(engine, repo, monkeypatch):
+    for path in ("_posts/a.md", ".github/b.md", "it's/c d.md"):
+        repo.commit(path, "# Head\nnew line\n", 60)
+    got = engine.contextual_changes(ReportOptions(str(repo.path), 7)).collect()
+    assert {r["path"] for r in got} == {"_posts/a.md", ".github/b.md", "it's/c d.md"}
+    monkeypatch.chdir(repo.path.parent)
+    assert engine.contextual_changes(ReportOptions(f"./{repo.path.name}", 7)).count() == len(got)
+
+
+def test_the_walk_goes_by_time(engine, repo):
+    repo.commit("p.md", "p\n", 2 * DAY)
+    repo.git("checkout", "-q", "-b", "side")
+    repo.commit("b.md", "b\n", 20 * DAY)
+    repo.git("checkout", "-q", "main")
+    repo.commit("a.md", "a\n", DAY)
+    repo.git("merge", "-q", "--no-ff", "-m", "m", "side", age=60)
+    assert {r["path"] for r in engine.added_lines(ReportOptions(str(repo.path), 7)).collect()} == {"a.md", "b.md", "p.md"}
+
+
+def test_repeated_extensions_by_ascii_case():
+    ReportOptions(".", 7, [".É", ".é"]).validate()
