@@ -6,6 +6,7 @@ so tolerates any further columns, whatever their names are.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -47,6 +48,14 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Drops tables of written(), and lets the driver find out which shuffles nothing refers to any more, so that their files go."""
+    for df in tables:
+        dropped(df)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def gapless(df: DataFrame, group: str, keys: list[str], out: str, buckets: int = 1024) -> DataFrame:
     """Adds ``out``: numbers from 0 without gaps within each ``group``, in an order that ``keys`` decide.
 
