@@ -99,13 +99,15 @@ def links(nodes: DataFrame) -> DataFrame:
         ).where("n > 1 AND (side IS NULL OR least0 IS NOT NULL AND least1 IS NOT NULL)")
         shared = written(ranked.select("key", "at", "side", "fp", "before", F.when(F.col("side") == 0, F.col("least1")).otherwise(F.col("least0")).alias("least")))
         new = shared.select("fp", F.explode(F.array("least", "before")).alias("a")).where(F.col("a").isNotNull() & (F.col("a") != F.col("fp")) & _near(F.col("a"), F.col("fp")))
-        new = new.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
-        found = written(new if found is None else found.unionByName(new).distinct())
+        new = new.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+        found = written(new.distinct() if found is None else found.unionByName(new).distinct())
         of = components(found, "a", "b").select(F.col("node").alias("_fp"), "component")
-        named = written(shared.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("key", "at", "side", "fp", F.coalesce("component", "fp").alias("c")))
-        sides = named.groupBy("key", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.when(zero, 1)).alias("n0"), F.count(F.when(~zero, 1)).alias("n1"))
-        unsettled = sides.where("lo <> hi AND (n1 = 0 AND n0 > 2 OR n0 > 1 AND n1 > 1)").select("key", "at")
-        members = written(named.join(unsettled.hint("merge"), ["key", "at"]).select("key", "at", "fp", "c"))
+        named = shared.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("key", "at", "side", "fp", F.coalesce("component", "fp").alias("c"))
+        sides = named.select(
+            "key", "at", "fp", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi"),
+            F.count(F.when(zero, 1)).over(of_key).alias("n0"), F.count(F.when(~zero, 1)).over(of_key).alias("n1"),
+        )
+        members = written(sides.where("lo <> hi AND (n1 = 0 AND n0 > 2 OR n0 > 1 AND n1 > 1)").select("key", "at", "fp", "c"))
         if members.isEmpty():
             return found
     sides = members.select("key", "at", F.col("fp").alias("a"), F.col("c").alias("ca")).join(members.select("key", "at", F.col("fp").alias("b"), F.col("c").alias("cb")).hint("merge"), ["key", "at"])

@@ -119,6 +119,15 @@ def test_components(spark):
     assert _graph.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 50, 10_000])
+def test_components_do_not_depend_on_the_pieces(spark, piece):
+    rng = random.Random(piece)
+    links = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(80)] + [(k, k + 1) for k in range(500, 540)] + [(7, 7)]
+    nodes = {x for link in links if link[0] != link[1] for x in link}
+    got = {r["node"]: r["component"] for r in _graph.components(spark.createDataFrame(links, "x long, y long"), "x", "y", piece).collect()}
+    assert got == reach(nodes, [x for x in links if x[0] != x[1]])
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(3000):
