@@ -65,22 +65,25 @@ def _near(a: Column, b: Column, bits: int = BITS) -> Column:
 
 
 def _variants(members: DataFrame, depth: int) -> DataFrame:
-    """(key, at, side, fp) for members (key, at, fp): ``at`` is where the bits lie that the key leaves open, 64 >> depth of them.
+    """(key, at, may, side, fp) for members (key, at, may, fp): ``at`` is where the bits lie that the key leaves open, 64 >> depth of them.
 
     The open bits are cut in two. Each part, as it is (side null) or without one of its bits (that bit is the side), joins
-    the key; the other part is what the new key leaves open.
+    the key; the other part is what the new key leaves open. ``may`` is how many open bits a key's fingerprints that are
+    to be compared may differ in, one less after each wildcard. Three need wildcards in both parts, two in one
+    part (else a part is equal), and one needs none.
     """
     width = 64 >> (depth + 1)
-    part = members.select("key", "at", "fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("h"))
-    part = part.select("key", (F.col("at") + (1 - F.col("h")) * width).alias("at"), "fp", "h", F.expr(f"shiftrightunsigned(fp, at + h * {width})").bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits"))
-    wild = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("w"))
+    part = members.select("key", "at", "may", "fp", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("h"))
+    part = part.select("key", (F.col("at") + (1 - F.col("h")) * width).alias("at"), "may", "fp", "h", F.expr(f"shiftrightunsigned(fp, at + h * {width})").bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits"))
+    first = F.when(F.col("may") + (1 - F.col("h")) > 2, 0).otherwise(width)
+    wild = part.select("*", F.explode(F.sequence(first, F.lit(width))).alias("w"))
     one = F.expr("shiftleft(1L, w)")
     bits = F.when(F.col("w") < width, F.col("bits").bitwiseAND(F.bitwise_not(one))).otherwise(F.col("bits"))
     side = F.when(F.col("w") < width, (F.col("bits").bitwiseAND(one) != 0).cast("int"))
     tag = F.col("h") * (width + 1) + F.col("w")
     # the first key is exact; narrower ones are hashes, where a collision can only bring more to be verified
     key = F.shiftleft(tag.cast("long"), 32).bitwiseOR(bits) if depth == 0 else F.xxhash64("key", tag, bits)
-    return wild.select(key.alias("key"), "at", side.alias("side"), "fp")
+    return wild.select(key.alias("key"), "at", (F.col("may") - (F.col("w") < width).cast("int")).alias("may"), side.alias("side"), "fp")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -90,24 +93,24 @@ def links(nodes: DataFrame) -> DataFrame:
     """
     spark = nodes.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    members = nodes.repartition(tasks, "fp").select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), "fp")
+    members = nodes.repartition(tasks, "fp").select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"), F.lit(BITS).alias("may"), "fp")
     found, of_key, zero = None, Window.partitionBy("key", "at"), F.coalesce("side", F.lit(0)) == 0
     for depth in range(DEPTH):
         ranked = _variants(members, depth).select(
-            "key", "at", "side", "fp", F.lag("fp").over(of_key.orderBy("fp")).alias("before"),
+            "key", "at", "may", "side", "fp", F.lag("fp").over(of_key.orderBy("fp")).alias("before"),
             F.min(F.when(zero, F.col("fp"))).over(of_key).alias("least0"), F.min(F.when(~zero, F.col("fp"))).over(of_key).alias("least1"), F.count(F.lit(1)).over(of_key).alias("n"),
         ).where("n > 1 AND (side IS NULL OR least0 IS NOT NULL AND least1 IS NOT NULL)")
-        shared = written(ranked.select("key", "at", "side", "fp", "before", F.when(F.col("side") == 0, F.col("least1")).otherwise(F.col("least0")).alias("least")))
+        shared = written(ranked.select("key", "at", "may", "side", "fp", "before", F.when(F.col("side") == 0, F.col("least1")).otherwise(F.col("least0")).alias("least")))
         new = shared.select("fp", F.explode(F.array("least", "before")).alias("a")).where(F.col("a").isNotNull() & (F.col("a") != F.col("fp")) & _near(F.col("a"), F.col("fp")))
         new = new.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
         found = written(new.distinct() if found is None else found.unionByName(new).distinct())
         of = components(found, "a", "b").select(F.col("node").alias("_fp"), "component")
-        named = shared.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("key", "at", "side", "fp", F.coalesce("component", "fp").alias("c"))
+        named = shared.join(of.hint("merge"), F.col("fp") == F.col("_fp"), "left").select("key", "at", "may", "side", "fp", F.coalesce("component", "fp").alias("c"))
         sides = named.select(
-            "key", "at", "fp", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi"),
+            "key", "at", "may", "fp", "c", F.min("c").over(of_key).alias("lo"), F.max("c").over(of_key).alias("hi"),
             F.count(F.when(zero, 1)).over(of_key).alias("n0"), F.count(F.when(~zero, 1)).over(of_key).alias("n1"),
         )
-        members = written(sides.where("lo <> hi AND (n1 = 0 AND n0 > 2 OR n0 > 1 AND n1 > 1)").select("key", "at", "fp", "c"))
+        members = written(sides.where("lo <> hi AND (n1 = 0 AND n0 > 2 OR n0 > 1 AND n1 > 1)").select("key", "at", "may", "fp", "c"))
         if members.isEmpty():
             return found
     sides = members.select("key", "at", F.col("fp").alias("a"), F.col("c").alias("ca")).join(members.select("key", "at", F.col("fp").alias("b"), F.col("c").alias("cb")).hint("merge"), ["key", "at"])
