@@ -28,6 +28,10 @@ WINDOW = 2048
 BUCKET_ROWS = 100_000
 #: Words whose ids a worker remembers; with more it begins anew.
 CACHE_WORDS = 800_000
+#: Bytes that they may take, about; an executor has a worker for each of its cores, beside its own heap.
+CACHE_BYTES = 70_000_000
+#: Bytes of a word besides its characters and ids: two objects and a slot.
+_WORD_BYTES = 200
 #: Texts of these characters alone are cut into words here: none of them is changed by the tokenizer but to lower case.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The tokenizer's own pattern, for lower-case texts of those characters.
@@ -55,6 +59,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, need: list[str]) -> None:
         for at in range(0, len(need), 16384):
@@ -64,6 +69,7 @@ class WordEncoder:
             raw = ids.tobytes()
             if len(cuts) != len(part) + 1:
                 raise ValueError("a tokenizer whose words have no ends")
+            self.held += _WORD_BYTES * len(part) + sum(map(len, part)) + len(raw)
             self.known.update(zip(part, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def _whole(self, text: str) -> bytes:
@@ -71,8 +77,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         known = self.known
         plain = [_WORDS.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
         self._learn([*set().union(*filter(None, plain)).difference(known)])

@@ -1,6 +1,7 @@
 """Exact top-k and packing."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -118,3 +119,15 @@ def test_packing(spark, window):
         assert g["offset"].tolist() == [0, *ends[:-1]] and ends[-1] <= window
     assert sorted(got["sequence_id"].unique()) == list(range(got["sequence_id"].nunique()))
     assert packing.packed(docs.limit(0), str(PATH), window).count() == 0
+
+
+def test_the_word_cache_is_bounded_in_bytes(monkeypatch):
+    """F: packing took more than 3000 MB of an executor's memory; only the count of cached words was bounded, at some 200 MB a worker."""
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100_000, raising=False)
+    enc = packing.WordEncoder(str(PATH))
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(100)) for _ in range(2)]
+        want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert enc.encode(texts) == want
+        assert sum(map(sys.getsizeof, enc.known)) + sum(map(sys.getsizeof, enc.known.values())) <= 100_000 + 2 * 100 * 300
