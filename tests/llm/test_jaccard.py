@@ -64,6 +64,18 @@ def test_one_of_each(spark, monkeypatch, crowd):
     assert jaccard.one_of_each(docs_of(spark, rows[:0])).count() == 0
 
 
+def test_fingerprints_decide_nothing(spark, monkeypatch):
+    rows = some_rows()
+    rng = random.Random(5)
+    x, y = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(120)) for c in "xy")
+    rows += [(-1, x), (600, y), (601, y + " more")]
+    # all fingerprints are equal: each node is compared with the least only, and what is alike apart from it must still meet
+    monkeypatch.setattr(jaccard, "majority", lambda s: 7)
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, rows)).collect()) == kept_by_hand(rows)
+    monkeypatch.setattr(jaccard, "_by_fingerprint", lambda rows: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, rows)).collect()) == kept_by_hand(rows)
+
+
 def test_the_stage_drops_copies_with_a_few_changed_words(spark):
     import corpus_pipeline
 
