@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import written
+from docloom.llm._common import dropped, released, written
 
 #: Lines of fewer characters stay; those of at least NEAR are also compared within one edit.
 SHORT, NEAR = 10, 16
@@ -78,7 +78,9 @@ def _sharing(keys: DataFrame) -> DataFrame:
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi"))
     two = shared.where("n = 2").select(F.explode(F.array("lo", "hi")).alias("h1"))
     more = keys.join(shared.where("n > 2").select("key"), "key").select("h1")
-    return written(two.unionByName(more).distinct())
+    out = written(two.unionByName(more).distinct())
+    dropped(shared)
+    return out
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,11 +95,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = _sharing(distinct.select("h1", F.explode(F.array(*halves)).alias("key")).where("key IS NOT NULL"))
     texts = lines.where(F.length("line") >= NEAR).select(F.xxhash64("line").alias("h1"), "line", place.alias("at")).join(asked, "h1")
     texts = written(texts.groupBy("h1", "line").agg(F.min("at").alias("at")))
+    cut = [texts]
     # only characters in a part whose rest another line shares are deleted
     frames = texts.select("h1", F.explode(_frames(PARTS)).alias("x")).select("h1", "x.*")
     shared = frames.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
     close = frames.join(shared, "key").groupBy("h1").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", "hi")))).alias("places"))
     texts = written(texts.join(close, "h1"))
+    cut.append(texts)
     less = lambda i: F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1))
     variants = texts.select("h1", "at", F.explode(F.transform("places", lambda i: F.struct(i.alias("i"), F.xxhash64(less(i)).alias("v")))).alias("x")).select("h1", "at", "x.i", "x.v")
     # the line that has one character else at the same place
@@ -115,7 +119,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     marked = distinct.join(near.withColumn("gone", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR gone").select("h1", "h2", "first", "gone")
     hits = known.select("h1", "h2", place.alias("at")).join(marked, ["h1", "h2"]).where(F.coalesce("gone", F.lit(False)) | (F.col("at") != F.col("first")))
-    return hits.select("at.ord", "at.th", "at.pos").groupBy("ord", "th").agg(F.collect_set("pos").alias("gone"))
+    gone = written(hits.select("at.ord", "at.th", "at.pos").groupBy("ord", "th").agg(F.collect_set("pos").alias("gone")))
+    released(docs.sparkSession, known, distinct, asked, *cut)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

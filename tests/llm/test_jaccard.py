@@ -76,6 +76,30 @@ def test_fingerprints_decide_nothing(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, rows)).collect()) == kept_by_hand(rows)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_texts_nobody_asked_for_are_not_shuffled(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "FILTER", bits)
+    docs = docs_of(spark, some_rows())
+    hashes = docs.selectExpr("xxhash64(text) AS th").distinct()
+    asked = jaccard.written(hashes.where("th % 4 = 0"))
+    passed = hashes.where(jaccard._holding(asked)(hashes["th"]))
+    assert passed.join(asked, "th").count() == asked.count()
+    if bits > 64:
+        assert passed.count() < hashes.count() / 2
+
+
+def test_tables_go_when_they_are_read(spark):
+    from docloom.llm import _common, linededup
+
+    folder = Path(_common.shared_dir(spark).split("://")[-1].removeprefix("file:"))
+    docs = docs_of(spark, some_rows())
+    for stage, most in ((linededup.without_emptied, 1), (jaccard.one_of_each, 1)):
+        there = {p for p in folder.glob("docloom-*") if any(p.glob("*.parquet"))}
+        out = stage(docs)
+        left = [p for p in folder.glob("docloom-*") if p not in there and sum(f.stat().st_size for f in p.glob("*.parquet")) > 16_000]
+        assert len(left) <= most and out.count() > 0
+
+
 def test_the_stage_drops_copies_with_a_few_changed_words(spark):
     import corpus_pipeline
 
