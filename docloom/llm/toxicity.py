@@ -182,7 +182,7 @@ class BlockMaxIndex:
             visited = part[asks, which]
             by = np.argsort(visited, kind="stable")
             for b, js in zip(np.unique(visited).tolist(), np.split(asks[by], np.flatnonzero(np.diff(visited[by])) + 1), strict=True):
-                total[js, b] = base[js, b] + q[js] @ self.blocks[b]
+                total[js, b] = base[js, b] + (q if len(js) == m else q[js]) @ self.blocks[b]
             if size > k:
                 edge = np.maximum(np.partition(total.reshape(m, size), size - k, axis=1)[:, size - k], 0.0)
             done, step = done + step, step * 2
