@@ -181,3 +181,22 @@ def test_pieces_across_chunks(monkeypatch):
     cut = list(suffixdedup.pieces(data))
     assert {x[0] for x in cut} == whole
     assert cut[0][1] == 0 and cut[-1][2] == 2600 and all(x[2] + 1 == y[1] for x, y in zip(cut, cut[1:], strict=False))
+
+
+def test_suffix_dedup_of_equal_hashes(spark):
+    """Two strings of 400 bytes with one hash, the one sorted between two copies of the other."""
+    rng = random.Random(3)
+    other = 0
+    while other != 4:  # bytes before the first full block
+        middle = "".join(rng.choice("abcdefgh ") for _ in range(392))
+        one, two = ("é" + "Cya" + middle + "uwaz").encode()[1:], (".èd" + middle + "eEuI").encode()
+        (_, first, last, at), = suffixdedup.pieces(one)
+        assert (len(one), len(two), first, last) == (400, 400, 0, 0)
+        other = at % 8
+    pair = np.frombuffer(one + two, np.uint8)
+    assert suffixdedup.window_hashes(pair, 400)[[0, 400]].tolist() == suffixdedup.window_hashes(pair, 400)[[0, 0]].tolist()
+    texts = [f"éCya{middle}uwaz1111", f".èd{middle}eEuI2222", f"ĩCya{middle}uwaz3333"]  # é and ĩ end alike
+    got = suffixdedup.remove_repeats(docs_of(spark, list(enumerate(texts)))).collect()
+    want = slow_removal([t.encode() for t in texts], 400)
+    assert [x[1] for x in want] == [400, 0, 400]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sorted(got)] == want
